@@ -6,10 +6,11 @@ import re
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberwatch.functions import fields as X
+from emberwatch.functions.literals import folded, needed
 from emberwatch.operators.alerts import payload, to_alerts, union_alerts
 from emberwatch.schema import SIGNATURE_SCHEMA
 
@@ -67,30 +68,67 @@ def filter_catalog(
     return catalog
 
 
-def matches(signature: Signature) -> Column:
-    """Any pattern on any listed field; empty fields are skipped, no pattern means no match."""
-    if not signature.patterns:
-        return F.lit(False)
-    either = FLAGS + "|".join(f"(?:{p})" for p in signature.patterns)
-    hit = F.lit(False)
-    for path in signature.fields:
-        hit = hit | F.coalesce(X.non_empty(X.path_value(path)).rlike(either), F.lit(False))
-    return hit
+def _sql_text(s: str) -> str:
+    """SQL string literal; raw where possible, so that backslashes need no second escaping."""
+    if "'" not in s:
+        return f"r'{s}'"
+    if '"' not in s:
+        return f'r"{s}"'
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _either(patterns: list[str]) -> str:
+    return _sql_text(FLAGS + "|".join(f"(?:{p})" for p in patterns))
+
+
+def matches(signature: Signature, columns: dict[str, tuple[str, str]]) -> str:
+    """SQL condition: any pattern on any listed field; null fields and a lack of patterns give no match.
+
+    ``columns`` names each field's value and its folded form. Patterns run only where one of the
+    substrings they need occurs. SQL text, because a catalog makes thousands of expressions.
+    """
+    sets = {p: needed(p) for p in signature.patterns}
+    gated = [p for p in signature.patterns if sets[p]]
+    open_ = [p for p in signature.patterns if not sets[p]]
+    words = sorted(set().union(*[sets[p] for p in gated]))
+    tests = []
+    for value, low in (columns[path] for path in signature.fields):
+        if gated:
+            present = " OR ".join(f"contains({low}, {_sql_text(w)})" for w in words)
+            tests.append(f"(({present}) AND {value} RLIKE {_either(gated)})")
+        if open_:
+            tests.append(f"{value} RLIKE {_either(open_)}")
+    return " OR ".join(tests) or "false"
 
 
 def signature_hits(logs: DataFrame, signatures: list[Signature]) -> DataFrame:
-    """One row per (log, matching signature): every log is read once, whatever the catalog's size."""
-    found = F.array_compact(F.array(*[F.when(matches(s), F.lit(s.id)) for s in signatures]))
-    return logs.select(*LOG_INPUT, F.explode(found).alias("signature_id"))
+    """One row per (log, matching signature): every log is read once, whatever the catalog's size.
+
+    The matches of a log are gathered as text, which needs no lambda and so stays compiled. They
+    are split inside the generator: on an aliased array the optimiser would add a size filter and
+    run every pattern twice.
+    """
+    paths = sorted({path for s in signatures for path in s.fields})
+    columns = {path: (f"value{i}", f"folded{i}") for i, path in enumerate(paths)}
+    values = logs.withColumns({columns[path][0]: X.non_empty(X.path_value(path)) for path in paths})
+    ready = values.withColumns({low: folded(F.col(value)) for value, low in columns.values()})
+    found = [f"CASE WHEN {matches(s, columns)} THEN '{i}' END" for i, s in enumerate(signatures)]
+    return (
+        ready.select(*LOG_INPUT, F.expr(f"concat_ws(',', {', '.join(found)})").alias("found"))
+        .select(*LOG_INPUT, F.explode(F.split("found", ",")).alias("number"))
+        .filter("number <> ''")
+        .withColumn("number", F.col("number").cast("int"))
+    )
 
 
 def signature_alerts(logs: DataFrame, signatures: list[Signature]) -> DataFrame:
     if len(signatures) > CATALOG_LIMIT:
         raise ValueError(f"catalog of {len(signatures)} signatures; at most {CATALOG_LIMIT} are tested in one pass")
-    catalog = catalog_frame(logs.sparkSession, signatures).selectExpr(
-        "id AS signature_id", "name", "severity", "category", "description"
+    catalog = logs.sparkSession.createDataFrame(
+        [(i, s.id, s.name, s.severity, s.category, s.description) for i, s in enumerate(signatures)],
+        "number int, signature_id string, name string, severity string, category string, description string",
     )
-    hits = signature_hits(logs, signatures).join(F.broadcast(catalog), "signature_id")
+    hits = signature_hits(logs, signatures).join(F.broadcast(catalog), "number")
     return to_alerts(
         hits,
         method=METHOD,

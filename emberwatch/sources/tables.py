@@ -44,6 +44,9 @@ def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write once to the shared folder and read back: a table that survives lost executors, whose
     columns are pruned per query and whose definition no optimiser rule can inline again."""
     path = path or new_folder(df.sparkSession, name)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:  # an input this small would leave cores idle in every later scan
+        df = df.repartition(cores)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
