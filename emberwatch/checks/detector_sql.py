@@ -228,7 +228,7 @@ def rate_anomalies(limits, base="b"):
         frm = f"""(SELECT c.cycle, c.value, b.mean, (c.value - b.mean) / nullif(b.std, 0) AS z
   FROM (SELECT cycle, count(*) AS value FROM x WHERE {when} GROUP BY cycle) c JOIN {base} b ON b.metric = '{metric}')"""
         parts.append(row(f"'{kind}'", "anomaly_detection", f"'{severity}'", "CAST(NULL AS VARCHAR)", frm,
-                         f"abs(z) > {limits[metric]}", more=", value, round(z, 6) AS z"))
+                         f"abs(round(z, 9)) > {limits[metric]}", more=", value, round(z, 6) AS z"))
     return " UNION ALL ".join(parts)
 
 
@@ -240,7 +240,7 @@ def request_anomalies(limit, base="b", plain=100):
                    ip="ip", more=", value, CAST(NULL AS DOUBLE) AS z")
     frm = f"(SELECT c.*, (value - mean) / nullif(std, 0) AS z FROM {counts} c JOIN {base} b ON b.metric = 'requests_per_ip')"
     return row("'request_rate_anomaly'", "anomaly_detection", "'medium'", "CAST(NULL AS VARCHAR)", frm,
-               f"abs(z) > {limit}", ip="ip", more=", value, round(z, 6) AS z")
+               f"abs(round(z, 9)) > {limit}", ip="ip", more=", value, round(z, 6) AS z")
 
 
 # --- profiles ------------------------------------------------------------------------------

@@ -24,6 +24,7 @@ from emberwatch.sources import event_log as E
 from emberwatch.sources import tables as T
 from emberwatch.sources.default_rules import DEFAULT_RULES
 from emberwatch.sources.default_signatures import DEFAULT_SIGNATURES
+from emberwatch.streaming import cycles as C
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -423,7 +424,7 @@ def iqr_outliers(spark, sf):
     V.sql(f"""SELECT metric, key, value, round((value - m) / s, 6) AS z FROM (
   SELECT *, avg(value) OVER w AS m, nullif(stddev_pop(value) OVER w, 0) AS s FROM ({D.metric_values_sql()})
   WHERE metric IN ('failed_login_rate', 'error_rate')
-  WINDOW w AS (PARTITION BY metric ORDER BY key ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)) WHERE abs((value - m) / s) > 1.5"""),
+  WINDOW w AS (PARTITION BY metric ORDER BY key ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)) WHERE abs(round((value - m) / s, 9)) > 1.5"""),
 )
 def moving_average_outliers(spark, sf):
     values = B.metric_values(V.logs(spark, sf), metrics=["failed_login_rate", "error_rate"])
@@ -884,3 +885,74 @@ LEFT JOIN (SELECT created_at, count(*) AS n FROM alerts GROUP BY 1) ON created_a
 def cycle_metrics(spark, sf):
     rows = reports.cycle_metrics(alerts(spark, sf), V.logs(spark, sf))
     return rows.withColumn("cycle", V.stamp("cycle"))
+
+
+# --- streams: the events table read as a stream until its end -------------------------------
+
+
+def event_stream(spark: SparkSession, sf: str) -> DataFrame:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    schema = E.table(spark, sf, "events").schema
+    return E.logs_from_events(C.read_stream(spark, sf, schema, glob="events.parquet"))
+
+
+_STREAMED = [D.brute_force_attempt(5), D.lateral_movement(3, DAY), D.off_hours_activity(), D.blocked_ips()]
+_STREAM_CTES = f"""found AS MATERIALIZED (SELECT *, {_WEIGHT} AS priority_score FROM ({alert_rows(
+    ' UNION ALL '.join(f'SELECT {_COMMON} FROM ({s})' for s in _STREAMED))})),
+alerts AS MATERIALIZED (SELECT * EXCLUDE (place) FROM (SELECT *, row_number() OVER (
+  PARTITION BY created, alert_type, host, source_ip, "user"
+  ORDER BY priority_score DESC, list_position({_METHODS}, detection_method), log_id NULLS FIRST, id) AS place FROM found) WHERE place = 1)"""
+
+
+@register(
+    "stream_cycle_alerts",
+    V.sql(
+        'SELECT id, alert_type, detection_method, severity, log_id, source_ip, dest_ip, "user", host, created FROM alerts',
+        extra=_STREAM_CTES,
+    ),
+)
+def stream_cycle_alerts(spark, sf):
+    out = T.new_folder(spark, "stream-alerts")
+    bursts = [BURSTS[n][0]() for n in ("brute_force_attempt", "lateral_movement")]
+
+    def found(_now):
+        return {
+            "bursts": lambda logs: burst_alerts(logs, bursts),
+            "off_hours": heuristic.off_hours_activity,
+            "blocked": lambda logs: blocked_ip_alerts(logs, blocked(spark, sf)),
+        }
+
+    C.run_cycles(event_stream(spark, sf), found, f"{out}/alerts", f"{out}/checkpoint", cycle_seconds=DAY).awaitTermination()
+    return shown(T.read_alerts(spark, f"{out}/alerts"), False)
+
+
+@register(
+    "stream_windowed_counts",
+    V.sql(f"""SELECT {V.sql_stamp('s')} AS start, source_ip, n FROM (
+  SELECT time_bucket(INTERVAL '{DAY} seconds', ingestion_time) AS s, source_ip, count(*) AS n FROM x GROUP BY 1, 2)
+WHERE s + INTERVAL '{DAY} seconds' <= (SELECT max(ingestion_time) - INTERVAL 2 MINUTES FROM x)"""),
+)
+def stream_windowed_counts(spark, sf):
+    out = T.new_folder(spark, "stream-counts")
+    counts = C.windowed_counts(X.prepare(event_stream(spark, sf)), "source_ip", DAY)
+    C.write_files(counts, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select(V.stamp("start").alias("start"), "source_ip", "n")
+
+
+@register("stream_profiles", V.sql(D.profile_sql()))
+def stream_profiles(spark, sf):
+    out = T.new_folder(spark, "stream-profiles")
+    counts = C.profile_stream(X.prepare(event_stream(spark, sf)))
+    C.save_changes(counts, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    return C.latest_profiles(spark, f"{out}/rows")
+
+
+@register("stream_deduplicated", _cycle_sql('SELECT DISTINCT alert_type, host, source_ip, "user" FROM alerts'))
+def stream_deduplicated(spark, sf):
+    """All stored alerts arrive in one micro-batch, so one alert of every key remains."""
+    out = T.new_folder(spark, "stream-dedup")
+    T.append_alerts(alerts(spark, sf), f"{out}/in")
+    schema = spark.read.parquet(f"{out}/in").schema
+    arriving = spark.readStream.schema(schema).parquet(f"{out}/in")
+    C.write_files(C.first_of_each(arriving), f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select(*detect.DEDUP_KEY)

@@ -20,24 +20,26 @@ HOUR = 3600
 _prepared: dict[tuple, DataFrame] = {}
 
 
-def _once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+def _once(
+    spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame], spread: bool = False
+) -> DataFrame:
     """Materialised tables are shared by the queries of a session."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _prepared:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-        _prepared[key] = materialise(build(), name)
+        _prepared[key] = materialise(build(), name, spread=spread)
     return _prepared[key]
 
 
 def logs(spark: SparkSession, sf_dir: str, cycle: int | None = DAY) -> DataFrame:
     """The prepared event log in cycles."""
-    table = _once(spark, sf_dir, "logs", lambda: X.prepare(E.event_logs(spark, sf_dir)))
+    table = _once(spark, sf_dir, "logs", lambda: X.prepare(E.event_logs(spark, sf_dir)), True)
     return X.in_cycles(table, AS_OF, cycle)
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and pages as prepared logs, one cycle."""
-    table = _once(spark, sf_dir, "texts", lambda: X.prepare(E.text_logs(spark, sf_dir)))
+    table = _once(spark, sf_dir, "texts", lambda: X.prepare(E.text_logs(spark, sf_dir)), True)
     return X.in_cycles(table, AS_OF)
 
 

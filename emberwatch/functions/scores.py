@@ -35,6 +35,8 @@ def z_score(value: Column, mean: Column, std: Column) -> Column:
 
 
 def beyond(z: Column, threshold: float, two_sided: bool = True) -> Column:
+    """Strictly beyond; rounding keeps a score at the threshold from passing by its last digit."""
+    z = F.round(z, 9)
     return (F.abs(z) if two_sided else z) > threshold
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from emberwatch.functions import fields as X
 from emberwatch.functions import predicates as P
-from emberwatch.functions.scores import outside_iqr, z_score
+from emberwatch.functions.scores import beyond, outside_iqr, z_score
 from emberwatch.operators.alerts import unpack
 
 HOURLY_METRICS = ("login_frequency", "failed_login_rate", "error_rate", "command_execution_rate")
@@ -140,4 +140,4 @@ def moving_average_outliers(values: DataFrame, width: int = 24, threshold: float
     scored = values.withColumns(
         {"mean": F.avg("value").over(trailing), "std": F.stddev_pop("value").over(trailing)}
     ).withColumn("z", z_score(F.col("value"), F.col("mean"), F.col("std")))
-    return scored.filter(F.abs("z") > threshold)
+    return scored.filter(beyond(F.col("z"), threshold))

@@ -40,13 +40,18 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+def materialise(df: DataFrame, name: str, path: str | None = None, spread: bool = False) -> DataFrame:
     """Write once to the shared folder and read back: a table that survives lost executors, whose
-    columns are pruned per query and whose definition no optimiser rule can inline again."""
+    columns are pruned per query and whose definition no optimiser rule can inline again.
+
+    ``spread`` is for frames straight from a scan: an input of fewer partitions than cores is
+    redistributed, so that later scans use all of them. Larger inputs are written as they come.
+    """
     path = path or new_folder(df.sparkSession, name)
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:  # an input this small would leave cores idle in every later scan
-        df = df.repartition(cores)
+    if spread:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < cores:
+            df = df.repartition(cores)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -236,9 +241,8 @@ def upsert_threat_intel(incoming: DataFrame, path: str) -> None:
 
 
 def save_table(df: DataFrame, path: str) -> None:
-    """Replace a small table that may be built from its own old content."""
-    fresh = materialise(df, "replacement")
-    fresh.coalesce(1).write.mode("overwrite").parquet(path)
+    """Replace a stored table (baselines, profiles) that may be built from its own old content."""
+    materialise(df, "replacement").write.mode("overwrite").parquet(path)
 
 
 def query(spark: SparkSession, text: str, args: dict[str, Any] | None = None, **frames: DataFrame) -> DataFrame:

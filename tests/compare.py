@@ -10,6 +10,7 @@ import sys
 import time
 
 import duckdb
+import pandas as pd
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -64,7 +65,7 @@ def compare(spark, con, sf_dir: str, name: str, query, sql: str) -> tuple[bool,
 def _plain(pdf):
     pdf = pdf[sorted(pdf.columns)].astype(object)
     for r in pdf.itertuples(index=False, name=None):
-        yield tuple("~" if v is None or v != v else (float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v) for v in r)
+        yield tuple("~" if pd.isna(v) else (float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v) for v in r)
 
 
 def main() -> int:
