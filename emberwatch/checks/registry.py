@@ -177,7 +177,7 @@ def distinct_appnames(spark, sf):
     ),
 )
 def field_extraction(spark, sf):
-    fields, msg, message = F.col("fields"), F.col("msg"), F.col("message")
+    msg = F.col("msg")
     return V.logs(spark, sf).select(
         "id",
         V.stamp("ts").alias("event_time"),
@@ -185,9 +185,9 @@ def field_extraction(spark, sf):
         "user",
         X.event_type(msg).alias("event_type"),
         X.error_category(msg).alias("error_category"),
-        X.dest_ip(fields).alias("dest_ip"),
-        X.dest_port(fields, message).alias("dest_port"),
-        X.transfer_bytes(fields, message).alias("size"),
+        "dest_ip",
+        "dest_port",
+        F.col("transfer_bytes").alias("size"),
         F.hour("ts").alias("hour"),
         F.weekday("ts").alias("weekday"),
         V.stamp(F.date_trunc("hour", "ts")).alias("hour_start"),

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from emberwatch.functions import predicates as P
+
 # Text shapes that decide what is extracted. (?U) gives \w, \d and \b their
 # Unicode meaning, so that names with accents come out whole.
 IPV4 = r"(?U)\b(?:\d{1,3}\.){3}\d{1,3}\b"
@@ -21,6 +23,7 @@ DOMAIN_SHAPE = r"(?U)\b(?:[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?\.)+[a-zA
 URL_SHAPE = r"(?U)https?://[^\s]+"
 EMAIL_SHAPE = r"(?U)\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
 IGNORED_DOMAINS = ("localhost", "example.com", "test.com")
+SIZE_WORDS = ("byte", "kb", "mb", "gb")
 UNIT_FACTORS = {"bytes": 1, "kb": 1024, "mb": 1024**2, "gb": 1024**3}
 
 JSON_MAP = T.MapType(T.StringType(), T.StringType())
@@ -56,17 +59,6 @@ def event_time(timestamp: Column, fields: Column) -> Column:
     return F.coalesce(timestamp.try_cast("timestamp"), fields["timestamp"].try_cast("timestamp"))
 
 
-def first_ip(message: Column) -> Column:
-    return extract(message, IPV4)
-
-
-def first_user(message: Column) -> Column:
-    """The shapes are tried in order, each on the whole message; a substring test spares the regex."""
-    return F.coalesce(
-        *[F.when(message.contains(w), extract(message, p, 1)) for w, p in zip(USER_WORDS, USER_SHAPES)]
-    )
-
-
 def source_ip(fields: Column, message_ip: Column) -> Column:
     """A present key wins even when its value is null; only then the first IPv4 of the message."""
     return (
@@ -84,12 +76,12 @@ def dest_ip(fields: Column) -> Column:
     return F.coalesce(non_empty(fields["dest_ip"]), non_empty(fields["destination_ip"]))
 
 
-def dest_port(fields: Column, message: Column) -> Column:
+def dest_port(fields: Column, message_port: Column) -> Column:
     """First key present decides, without falling through on null; 0 counts as absent."""
     port = (
         F.when(has_key(fields, "dest_port"), fields["dest_port"])
         .when(has_key(fields, "port"), fields["port"])
-        .otherwise(extract(message, PORT_SHAPE, 1))
+        .otherwise(message_port)
     )
     return F.nullif(port.try_cast("int"), F.lit(0))
 
@@ -98,13 +90,13 @@ def field_bytes(fields: Column) -> Column:
     return fields["bytes"].try_cast("bigint")
 
 
-def transfer_bytes(fields: Column, message: Column, honour_units: bool = True) -> Column:
-    """Bytes of the record, else the first quantity in the message."""
-    amount = extract(message, BYTES_SHAPE, 1).try_cast("bigint")
+def transfer_bytes(fields: Column, amount: Column, unit: Column, honour_units: bool = True) -> Column:
+    """Bytes of the record, else the first quantity found in the message."""
+    found = non_empty(amount).try_cast("bigint")
     if honour_units:
-        factors = F.create_map(*[F.lit(x) for kv in UNIT_FACTORS.items() for x in kv])
-        amount = amount * factors[F.lower(F.regexp_extract(message, BYTES_SHAPE, 2))].cast("bigint")
-    return F.when(has_key(fields, "bytes"), field_bytes(fields)).otherwise(amount)
+        factor = F.coalesce(*[F.when(F.lower(unit) == u, F.lit(n)) for u, n in UNIT_FACTORS.items()])
+        found = found * factor.cast("bigint")
+    return F.when(has_key(fields, "bytes"), field_bytes(fields)).otherwise(found)
 
 
 def event_type(msg: Column) -> Column:
@@ -180,13 +172,18 @@ def indicators(fields: Column, text: Column, ip: Column) -> Column:
     return F.array_distinct(F.filter(every, lambda i: i["value"].isNotNull() & (i["value"] != "")))
 
 
-def prepare(logs: DataFrame) -> DataFrame:
-    """Log table to the frame the detectors read: parsed maps (``fields``, ``extra``), lower-cased
-    ``msg``, nullable event time ``ts``, ``source_ip`` and ``user``.
+def prepare(logs: DataFrame, honour_units: bool = True) -> DataFrame:
+    """Log table to the frame the detectors read.
+
+    Adds the parsed maps (``fields``, ``extra``), lower-cased ``msg``, nullable event time ``ts`` and
+    what the detectors group or filter by: ``source_ip``, ``user``, ``contact_ip`` (the record's
+    dest_ip), ``dest_ip`` (either spelling), ``dest_port``, ``protocol``, ``field_bytes``,
+    ``transfer_bytes`` and the flag ``network``. ``honour_units=False`` reads "5 GB" as 5 bytes.
 
     Store or persist the result before running detectors on it (``sources.tables.materialise``):
     a filter on a derived column is pushed down by substituting the column's definition, so over an
-    unmaterialised frame each predicate would parse the JSON again.
+    unmaterialised frame each predicate would parse the JSON again. Stored, the detectors read the
+    few columns they need instead of messages and maps.
     """
     base = logs.withColumns(
         {
@@ -195,10 +192,13 @@ def prepare(logs: DataFrame) -> DataFrame:
             "msg": F.coalesce(F.lower("message"), F.lit("")),
         }
     )
-    # Text is searched only where no key answers, and in a projection of its own: inside the
-    # final CASE the regex would run once for the empty test and once more for the value.
-    fields, message = F.col("fields"), F.col("message")
+    # Text is searched only where no key answers and a cheap substring test allows a match, and in
+    # a projection of its own: inside the final CASE each regex would run for the test and again for
+    # the value.
+    fields, message, msg = F.col("fields"), F.col("message"), F.col("msg")
     no_ip = ~has_key(fields, "source_ip") & ~has_key(fields, "src_ip")
+    no_port = ~has_key(fields, "dest_port") & ~has_key(fields, "port")
+    has_size = ~has_key(fields, "bytes") & P.any_contains(msg, SIZE_WORDS)
     searched = base.withColumns(
         {
             "m_ip": F.when(no_ip, F.regexp_extract(message, IPV4, 0)),
@@ -208,16 +208,27 @@ def prepare(logs: DataFrame) -> DataFrame:
                 )
                 for i, (word, shape) in enumerate(zip(USER_WORDS, USER_SHAPES))
             },
+            "m_port": F.when(no_port & msg.contains("port"), F.regexp_extract(message, PORT_SHAPE, 1)),
+            "m_amount": F.when(has_size, F.regexp_extract(message, BYTES_SHAPE, 1)),
+            "m_unit": F.when(has_size, F.regexp_extract(message, BYTES_SHAPE, 2)),
         }
     )
     users = F.coalesce(*[non_empty(F.col(f"m_user{i}")) for i in range(len(USER_SHAPES))])
-    return searched.withColumns(
+    found = searched.withColumns(
         {
             "ts": event_time(F.col("timestamp"), fields),
             "source_ip": source_ip(fields, non_empty(F.col("m_ip"))),
             "user": user_name(fields, users),
+            "contact_ip": non_empty(fields["dest_ip"]),
+            "dest_ip": dest_ip(fields),
+            "dest_port": dest_port(fields, non_empty(F.col("m_port"))),
+            "protocol": non_empty(fields["protocol"]),
+            "field_bytes": field_bytes(fields),
+            "transfer_bytes": transfer_bytes(fields, F.col("m_amount"), F.col("m_unit"), honour_units),
+            "network": P.is_network(msg, fields),
         }
-    ).drop("m_ip", *[f"m_user{i}" for i in range(len(USER_SHAPES))])
+    )
+    return found.drop(*[c for c in found.columns if c.startswith("m_")])
 
 
 def in_cycles(prepared: DataFrame, as_of: datetime | str, cycle_seconds: int | None = None) -> DataFrame:

@@ -28,7 +28,7 @@ def _metric_rows(bucket: Column) -> list[tuple[str, Column, Column, Column | Non
         ("command_execution_rate", P.is_command(msg), key, None),
         ("requests_per_ip", F.lit(True), X.non_empty(F.col("source_ip")), None),
         ("unique_hosts", F.lit(True), key, X.non_empty(F.col("host"))),
-        ("unique_destinations", F.lit(True), X.non_empty(F.col("source_ip")), X.dest_ip(F.col("fields"))),
+        ("unique_destinations", F.lit(True), X.non_empty(F.col("source_ip")), F.col("dest_ip")),
     ]
 
 

@@ -63,8 +63,8 @@ def port_scan_detected(min_destinations: int = 10) -> Burst:
         method=METHOD,
         severity="high",
         when=F.lit(True),
-        k1=F.when(X.dest_ip(F.col("fields")).isNotNull(), X.non_empty(F.col("source_ip"))),
-        value=X.dest_ip(F.col("fields")),
+        k1=F.when(F.col("dest_ip").isNotNull(), X.non_empty(F.col("source_ip"))),
+        value=F.col("dest_ip"),
         measure="distinct",
         threshold=min_destinations,
         describe=F.concat(

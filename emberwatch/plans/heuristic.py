@@ -52,8 +52,8 @@ def lateral_movement(min_hosts: int = 5, window_seconds: int = 900) -> Burst:
     )
 
 
-def data_exfiltration(min_bytes: int = 100_000_000, window_seconds: int = 300, honour_units: bool = True) -> Burst:
-    size = X.transfer_bytes(F.col("fields"), F.col("message"), honour_units)
+def data_exfiltration(min_bytes: int = 100_000_000, window_seconds: int = 300) -> Burst:
+    size = F.col("transfer_bytes")
     return Burst(
         alert_type="data_exfiltration",
         method=METHOD,

@@ -15,12 +15,8 @@ from emberwatch.operators.sequences import gap_statistics
 METHOD = "network_analyzer"
 
 
-def network_row() -> Column:
-    return P.is_network(F.col("msg"), F.col("fields"))
-
-
 def network_logs(logs: DataFrame) -> DataFrame:
-    return logs.filter(network_row())
+    return logs.filter("network")
 
 
 def _text(c: str) -> Column:
@@ -28,14 +24,13 @@ def _text(c: str) -> Column:
 
 
 def port_scan(min_ports: int = 20, window_seconds: int = 60) -> Burst:
-    port = X.dest_port(F.col("fields"), F.col("message"))
     return Burst(
         alert_type="port_scan",
         method=METHOD,
         severity="high",
-        when=network_row() & port.isNotNull(),
+        when=F.col("network") & F.col("dest_port").isNotNull(),
         k1=X.non_empty(F.col("source_ip")),
-        value=port,
+        value=F.col("dest_port"),
         measure="distinct",
         threshold=min_ports,
         window_seconds=window_seconds,
@@ -58,8 +53,8 @@ def ddos_attack(min_connections: int = 1000, window_seconds: int = 60) -> Burst:
         alert_type="ddos_attack",
         method=METHOD,
         severity="critical",
-        when=network_row(),
-        k1=X.non_empty(F.col("fields")["dest_ip"]),
+        when=F.col("network"),
+        k1=F.col("contact_ip"),
         value=X.non_empty(F.col("source_ip")),
         measure="rows",
         threshold=min_connections,
@@ -86,12 +81,12 @@ def ddos_attack(min_connections: int = 1000, window_seconds: int = 60) -> Burst:
 
 
 def dns_tunneling(min_queries: int = 100, window_seconds: int = 60) -> Burst:
-    is_dns = F.col("msg").contains("dns") | F.coalesce(F.col("fields")["protocol"] == "dns", F.lit(False))
+    is_dns = F.col("msg").contains("dns") | F.coalesce(F.col("protocol") == "dns", F.lit(False))
     return Burst(
         alert_type="dns_tunneling",
         method=METHOD,
         severity="high",
-        when=network_row() & is_dns,
+        when=F.col("network") & is_dns,
         k1=X.non_empty(F.col("source_ip")),
         measure="rows",
         threshold=min_queries,
@@ -108,12 +103,12 @@ def dns_tunneling(min_queries: int = 100, window_seconds: int = 60) -> Burst:
 
 
 def bandwidth_anomaly(min_bytes: int = 100 * 1024 * 1024, window_seconds: int = 300) -> Burst:
-    size = X.field_bytes(F.col("fields"))
+    size = F.col("field_bytes")
     return Burst(
         alert_type="bandwidth_anomaly",
         method=METHOD,
         severity="high",
-        when=network_row() & (size > 0),
+        when=F.col("network") & (size > 0),
         k1=X.non_empty(F.col("source_ip")),
         amount=size,
         measure="amount",
@@ -146,7 +141,7 @@ def beaconing(
     pairs = network_logs(logs).select(
         "cycle",
         X.non_empty(F.col("source_ip")).alias("src"),
-        X.non_empty(F.col("fields")["dest_ip"]).alias("dst"),
+        F.col("contact_ip").alias("dst"),
         "ts",
     )
     stats = gap_statistics(pairs.na.drop(), ["cycle", "src", "dst"], slice_seconds)
@@ -177,7 +172,7 @@ def beaconing(
 
 def protocol_anomaly(logs: DataFrame) -> DataFrame:
     """Web protocol on a port that is not a web port, one alert per log row."""
-    protocol = X.non_empty(F.col("fields")["protocol"])
+    protocol = F.col("protocol")
     port = F.nullif(F.col("fields")["dest_port"].try_cast("int"), F.lit(0))
     hits = network_logs(logs).filter(P.odd_web_port(protocol, port))
     return to_alerts(
@@ -193,7 +188,7 @@ def protocol_anomaly(logs: DataFrame) -> DataFrame:
                 "protocol": protocol,
                 "dest_port": port,
                 "source_ip": F.col("source_ip"),
-                "dest_ip": F.col("fields")["dest_ip"],
+                "dest_ip": F.col("contact_ip"),
             }
         ),
         log_id=F.col("id"),
@@ -204,7 +199,6 @@ def protocol_anomaly(logs: DataFrame) -> DataFrame:
 def protocol_counts(logs: DataFrame) -> DataFrame:
     return (
         network_logs(logs)
-        .select(X.non_empty(F.col("fields")["protocol"]).alias("protocol"))
         .filter("protocol IS NOT NULL")
         .groupBy("protocol")
         .agg(F.count(F.lit(1)).alias("n"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from emberwatch.sources.tables import spread
+
 _BASE = {
     "e": "event_id",
     "u": "user_id",
@@ -133,11 +135,11 @@ def logs_from_events(events: DataFrame) -> DataFrame:
 
 
 def event_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logs_from_events(table(spark, sf_dir, "events"))
+    return logs_from_events(spread(table(spark, sf_dir, "events")))
 
 
 def text_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and pages as logs: long free text in ``message``."""
-    docs = table(spark, sf_dir, "documents").selectExpr(*_select(_DOCUMENT))
-    pages = table(spark, sf_dir, "pages").selectExpr(*_select(_PAGE))
+    docs = spread(table(spark, sf_dir, "documents")).selectExpr(*_select(_DOCUMENT))
+    pages = spread(table(spark, sf_dir, "pages")).selectExpr(*_select(_PAGE))
     return docs.unionByName(pages)

@@ -40,18 +40,19 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str, path: str | None = None, spread: bool = False) -> DataFrame:
-    """Write once to the shared folder and read back: a table that survives lost executors, whose
-    columns are pruned per query and whose definition no optimiser rule can inline again.
+def spread(scan: DataFrame) -> DataFrame:
+    """A frame straight from a scan, redistributed if it has fewer partitions than there are cores.
 
-    ``spread`` is for frames straight from a scan: an input of fewer partitions than cores is
-    redistributed, so that later scans use all of them. Larger inputs are written as they come.
+    Only inputs of a few files are that small; larger ones are left as they are.
     """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write once to the shared folder and read back: a table that survives lost executors, whose
+    columns are pruned per query and whose definition no optimiser rule can inline again."""
     path = path or new_folder(df.sparkSession, name)
-    if spread:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < cores:
-            df = df.repartition(cores)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
