@@ -60,7 +60,7 @@ def _best(sequence) -> set[str] | None:
         if more:
             found.append(more)
     found = [f for f in found if _worth(f) > 1]
-    return max(found, key=_worth) if found else None
+    return max(found, key=lambda f: (_worth(f), min(map(len, f)))) if found else None
 
 
 def needed(pattern: str) -> set[str] | None:

@@ -91,13 +91,13 @@ def matches(signature: Signature, columns: dict[str, tuple[str, str]]) -> str:
     gated = [p for p in signature.patterns if sets[p]]
     open_ = [p for p in signature.patterns if not sets[p]]
     words = sorted(set().union(*[sets[p] for p in gated]))
+    fields = [columns[path] for path in signature.fields]
     tests = []
-    for value, low in (columns[path] for path in signature.fields):
-        if gated:
-            present = " OR ".join(f"contains({low}, {_sql_text(w)})" for w in words)
-            tests.append(f"(({present}) AND {value} RLIKE {_either(gated)})")
-        if open_:
-            tests.append(f"{value} RLIKE {_either(open_)}")
+    if gated:
+        seen = " OR ".join(f"contains({low}, {_sql_text(w)})" for _, low in fields for w in words)
+        hit = " OR ".join(f"{value} RLIKE {_either(gated)}" for value, _ in fields)
+        tests.append(f"(({seen}) AND ({hit}))")
+    tests += [f"{value} RLIKE {_either(open_)}" for value, _ in fields if open_]
     return " OR ".join(tests) or "false"
 
 
@@ -111,7 +111,11 @@ def signature_hits(logs: DataFrame, signatures: list[Signature]) -> DataFrame:
     paths = sorted({path for s in signatures for path in s.fields})
     columns = {path: (f"value{i}", f"folded{i}") for i, path in enumerate(paths)}
     values = logs.withColumns({columns[path][0]: X.non_empty(X.path_value(path)) for path in paths})
-    ready = values.withColumns({low: folded(F.col(value)) for value, low in columns.values()})
+    texts = {path: F.col(value) for path, (value, _) in columns.items()}
+    if "raw" in texts and "message" in texts:  # a raw line mostly repeats its message: search it once
+        repeated = F.coalesce(texts["raw"].contains(texts["message"]), F.lit(False))
+        texts["message"] = F.when(~repeated, texts["message"])
+    ready = values.withColumns({columns[path][1]: folded(text) for path, text in texts.items()})
     found = [f"CASE WHEN {matches(s, columns)} THEN '{i}' END" for i, s in enumerate(signatures)]
     return (
         ready.select(*LOG_INPUT, F.expr(f"concat_ws(',', {', '.join(found)})").alias("found"))
