@@ -42,7 +42,10 @@ def since_reset(
     caller needs later, so that both uses of the sliced rows share one shuffle.
     ``running`` maps a result name to (sum|min|max, input column).
     """
-    sliced = df.withColumn("slice", time_slice(order[0], slice_seconds))
+    # Said here, the optimiser need not infer it for one side of the join only, which would make the
+    # two uses of the shuffled rows differ.
+    known = df.filter(" AND ".join(f"{c} IS NOT NULL" for c in (*keys, order[0])))
+    sliced = known.withColumn("slice", time_slice(order[0], slice_seconds))
     place = [*keys, "slice"]
     before = Window.partitionBy(*place).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     flagged = sliced.withColumn("part", F.coalesce(F.sum(F.col(reset).cast("int")).over(before), F.lit(0)))

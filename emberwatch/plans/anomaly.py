@@ -9,7 +9,7 @@ from emberwatch.functions import fields as X
 from emberwatch.functions import predicates as P
 from emberwatch.functions.scores import beyond, z_score
 from emberwatch.operators.alerts import payload, to_alerts, union_alerts
-from emberwatch.operators.baselines import with_baseline, z_scored
+from emberwatch.operators.baselines import z_scored
 from emberwatch.operators.bursts import Burst, burst_alerts
 
 METHOD = "anomaly_detection"
@@ -222,12 +222,13 @@ def request_anomalies(
     logs: DataFrame, base: DataFrame | None, threshold: float = THRESHOLDS["requests_per_ip"], plain_limit: int = 100
 ) -> DataFrame:
     """Sources with an unusual number of requests; without a baseline a plain limit decides."""
-    values = requests_per_ip(logs).withColumn("metric", F.lit("requests_per_ip"))
     if base is None:
-        none = F.lit(None).cast("double")
-        scored = values.withColumns({"mean": none, "std": none})
+        mean = std = F.lit(None).cast("double")
     else:
-        scored = with_baseline(values, base)
+        # One metric, so its two numbers are scalar subqueries and the counts need no join.
+        row = base.filter("metric = 'requests_per_ip'")
+        mean, std = row.agg(F.max("mean")).scalar(), row.agg(F.max("std")).scalar()
+    scored = requests_per_ip(logs).withColumns({"mean": mean, "std": std})
     scored = scored.withColumn("z", z_score(F.col("value"), F.col("mean"), F.col("std")))
     has_base = F.col("mean").isNotNull()
     hits = scored.filter(

@@ -14,6 +14,7 @@ from emberwatch.functions import predicates as P
 from emberwatch.functions.fields import json_map
 from emberwatch.schema import ALERT_SCHEMA, LOG_SCHEMA, THREAT_INTEL_SCHEMA
 
+_local_folders: dict[str, str] = {}
 FILTER_COLUMNS = ("appname", "host", "hostname", "source_type", "file")
 
 
@@ -29,10 +30,11 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if spark.conf.get("spark.master", "").startswith("local"):
-        folder = tempfile.mkdtemp(prefix="emberwatch-")
-        spark.conf.set("spark.emberwatch.folder", folder)
-        return folder
+    if spark.sparkContext.master.startswith("local"):
+        app = spark.sparkContext.applicationId
+        if app not in _local_folders:
+            _local_folders[app] = tempfile.mkdtemp(prefix="emberwatch-")
+        return _local_folders[app]
     raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
 
 
