@@ -172,13 +172,33 @@ def indicators(fields: Column, text: Column, ip: Column) -> Column:
     return F.array_distinct(F.filter(every, lambda i: i["value"].isNotNull() & (i["value"] != "")))
 
 
+def flags(fields: Column, msg: Column, text: Column) -> dict[str, Column]:
+    """Keyword verdicts on a record, decided once so that detectors need not read its text."""
+    error = P.is_error(msg)
+    return {
+        "is_login": P.is_login(msg),
+        "is_failed_login": P.is_failed_login(msg),
+        "is_successful_login": P.is_successful_login(msg),
+        "is_error": error,
+        "error_kind": F.when(error, error_category(msg)),
+        "is_command": P.is_command(msg),
+        "is_suspicious": P.is_command(msg) & P.has_suspicious_command(msg),
+        "command_word": P.first_word(text, P.SUSPICIOUS_COMMANDS),
+        "is_privilege": P.any_contains(msg, P.PRIVILEGE_WORDS),
+        "is_off_hours_kind": P.any_contains(msg, P.OFF_HOURS_WORDS),
+        "is_file": P.any_contains(msg, P.FILE_WORDS),
+        "is_dns": msg.contains("dns") | F.coalesce(fields["protocol"] == "dns", F.lit(False)),
+        "event_kind": event_type(msg),
+    }
+
+
 def prepare(logs: DataFrame, honour_units: bool = True) -> DataFrame:
     """Log table to the frame the detectors read.
 
     Adds the parsed maps (``fields``, ``extra``), lower-cased ``msg``, nullable event time ``ts`` and
     what the detectors group or filter by: ``source_ip``, ``user``, ``contact_ip`` (the record's
     dest_ip), ``dest_ip`` (either spelling), ``dest_port``, ``protocol``, ``field_bytes``,
-    ``transfer_bytes`` and the flag ``network``. ``honour_units=False`` reads "5 GB" as 5 bytes.
+    ``transfer_bytes``, the flag ``network`` and the keyword verdicts of ``flags``. ``honour_units=False`` reads "5 GB" as 5 bytes.
 
     Store or persist the result before running detectors on it (``sources.tables.materialise``):
     a filter on a derived column is pushed down by substituting the column's definition, so over an
@@ -226,6 +246,7 @@ def prepare(logs: DataFrame, honour_units: bool = True) -> DataFrame:
             "field_bytes": field_bytes(fields),
             "transfer_bytes": transfer_bytes(fields, F.col("m_amount"), F.col("m_unit"), honour_units),
             "network": P.is_network(msg, fields),
+            **flags(fields, msg, F.coalesce(non_empty(message), F.col("raw"))),
         }
     )
     return found.drop(*[c for c in found.columns if c.startswith("m_")])

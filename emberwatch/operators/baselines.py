@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberwatch.functions import fields as X
-from emberwatch.functions import predicates as P
 from emberwatch.functions.scores import beyond, outside_iqr, z_score
 from emberwatch.operators.alerts import unpack
 
@@ -19,13 +18,12 @@ METRICS = (*HOURLY_METRICS, "requests_per_ip", *DISTINCT_METRICS)
 
 def _metric_rows(bucket: Column) -> list[tuple[str, Column, Column, Column | None]]:
     """(metric, applies, key, distinct value) of every counted metric."""
-    msg = F.col("msg")
     key = bucket.cast("string")
     return [
-        ("login_frequency", P.is_login(msg), key, None),
-        ("failed_login_rate", P.is_failed_login(msg), key, None),
-        ("error_rate", P.is_error(msg), key, None),
-        ("command_execution_rate", P.is_command(msg), key, None),
+        ("login_frequency", F.col("is_login"), key, None),
+        ("failed_login_rate", F.col("is_failed_login"), key, None),
+        ("error_rate", F.col("is_error"), key, None),
+        ("command_execution_rate", F.col("is_command"), key, None),
         ("requests_per_ip", F.lit(True), X.non_empty(F.col("source_ip")), None),
         ("unique_hosts", F.lit(True), key, X.non_empty(F.col("host"))),
         ("unique_destinations", F.lit(True), X.non_empty(F.col("source_ip")), F.col("dest_ip")),

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberwatch.functions import fields as X
-from emberwatch.functions import predicates as P
 from emberwatch.operators.alerts import payload, to_alerts, union_alerts, unpack
 
 METHOD = "behavioral_analyzer"
@@ -16,7 +15,7 @@ FACETS = ("history", "login_hour", "login_day", "source_ip", "resource", "action
 def profile_facts(logs: DataFrame) -> DataFrame:
     """(user, facet, item) facts of the logs: the streaming and the batch profile count the same rows."""
     timed = F.col("ts").isNotNull()
-    login = timed & P.is_login(F.col("msg"))
+    login = timed & F.col("is_login")
     facts = [
         ("history", F.lit(True), F.lit("rows")),
         ("login_hour", login, F.hour("ts").cast("string")),
@@ -109,7 +108,7 @@ def unusual_login_time(
     hours = shares.groupBy("user").agg(F.array_sort(F.collect_list("hour")).alias("typical_hours"))
     hits = (
         _activity(logs, profiles, min_rows, min_login_hours)
-        .filter(P.is_login(F.col("msg")))
+        .filter(F.col("is_login"))
         .withColumn("hour", F.hour("ts"))
         .join(shares, ["user", "hour"], "left")
         .filter(F.coalesce("share", F.lit(0.0)) < min_share)

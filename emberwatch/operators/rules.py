@@ -66,7 +66,7 @@ def field_value(name: str) -> Column:
     derived = {
         "source_ip": F.col("source_ip"),
         "user": F.col("user"),
-        "event_type": X.event_type(F.col("msg")),
+        "event_type": F.col("event_kind"),
     }.get(name, F.lit(None).cast("string"))
     fields, extra = F.col("fields"), F.col("extra")
     return (

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberwatch.functions import fields as X
-from emberwatch.functions import predicates as P
 from emberwatch.operators.alerts import minutes, payload, to_alerts
 
 AGGREGATES = {"sum": F.sum, "min": F.min, "max": F.max}
@@ -82,7 +81,7 @@ def failures_then_success(
     logs: DataFrame,
     min_failed: int = 5,
     window_seconds: int = 300,
-    slice_seconds: int = 3600,
+    slice_seconds: int = 10,
     failed: Column | None = None,
     succeeded: Column | None = None,
 ) -> DataFrame:
@@ -90,9 +89,8 @@ def failures_then_success(
 
     Both predicates may hold for one row: its failure counts first. Every success starts the count anew.
     """
-    msg = F.col("msg")
-    failed = P.is_failed_login(msg) if failed is None else failed
-    succeeded = P.is_successful_login(msg) if succeeded is None else succeeded
+    failed = F.col("is_failed_login") if failed is None else failed
+    succeeded = F.col("is_successful_login") if succeeded is None else succeeded
     rows = (
         logs.filter(X.non_empty(F.col("source_ip")).isNotNull() | X.non_empty(F.col("user")).isNotNull())
         .filter(failed | succeeded)
@@ -127,7 +125,7 @@ def failures_then_success(
 
 
 def brute_force_success(
-    logs: DataFrame, min_failed: int = 5, window_seconds: int = 300, slice_seconds: int = 3600
+    logs: DataFrame, min_failed: int = 5, window_seconds: int = 300, slice_seconds: int = 10
 ) -> DataFrame:
     hits = failures_then_success(logs, min_failed, window_seconds, slice_seconds)
     return to_alerts(
@@ -158,7 +156,7 @@ def brute_force_success(
 
 
 def login_then_escalation(
-    logs: DataFrame, window_seconds: int = 600, rearm: bool = False, slice_seconds: int = 3600
+    logs: DataFrame, window_seconds: int = 600, rearm: bool = False, slice_seconds: int = 10
 ) -> DataFrame:
     """Privilege keyword soon after a login of the same user.
 
@@ -167,8 +165,7 @@ def login_then_escalation(
     user cannot alert again within the cycle. With ``rearm`` the latest login is the anchor
     instead, each login alerts at most once and a late escalation silences nothing.
     """
-    msg = F.col("msg")
-    login, escalation = P.is_login(msg), P.any_contains(msg, P.PRIVILEGE_WORDS)
+    login, escalation = F.col("is_login"), F.col("is_privilege")
     rows = (
         logs.filter(X.non_empty(F.col("user")).isNotNull())
         .filter(login | escalation)
@@ -209,7 +206,7 @@ def login_then_escalation(
 
 
 def privilege_escalation(
-    logs: DataFrame, window_seconds: int = 600, rearm: bool = False, slice_seconds: int = 3600
+    logs: DataFrame, window_seconds: int = 600, rearm: bool = False, slice_seconds: int = 10
 ) -> DataFrame:
     hits = login_then_escalation(logs, window_seconds, rearm, slice_seconds)
     return to_alerts(
@@ -233,7 +230,7 @@ def privilege_escalation(
     )
 
 
-def gap_statistics(events: DataFrame, keys: list[str], slice_seconds: int = 3600) -> DataFrame:
+def gap_statistics(events: DataFrame, keys: list[str], slice_seconds: int = 10) -> DataFrame:
     """Count, mean and population deviation of the gaps between consecutive events of a key.
 
     Gaps inside a time slice come from ``lag``; a slice's summary adds the gap to the slice before.

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberwatch.functions import fields as X
-from emberwatch.functions import predicates as P
 from emberwatch.functions.scores import beyond, z_score
 from emberwatch.operators.alerts import payload, to_alerts, union_alerts
 from emberwatch.operators.baselines import z_scored
@@ -44,7 +43,7 @@ def brute_force_attempt(min_failed: int = 5) -> Burst:
         alert_type="brute_force_attempt",
         method=METHOD,
         severity="high",
-        when=P.is_failed_login(F.col("msg")),
+        when=F.col("is_failed_login"),
         k1=X.non_empty(F.col("source_ip")),
         measure="rows",
         threshold=min_failed,
@@ -82,20 +81,18 @@ def bursts() -> list[Burst]:
 
 def cycle_counts(logs: DataFrame) -> DataFrame:
     """One row per cycle with the counts every rate detector needs; a single hash aggregation."""
-    msg = F.col("msg")
-    error, category = P.is_error(msg), X.error_category(msg)
     return logs.groupBy("cycle").agg(
-        F.count_if(P.is_login(msg)).alias("login_frequency"),
-        F.count_if(P.is_failed_login(msg)).alias("failed_login_rate"),
-        F.count_if(error).alias("error_rate"),
-        F.count_if(P.is_command(msg)).alias("command_execution_rate"),
-        *[F.count_if(error & (category == c)).alias(c) for c in ERROR_CATEGORIES],
+        F.count_if("is_login").alias("login_frequency"),
+        F.count_if("is_failed_login").alias("failed_login_rate"),
+        F.count_if("is_error").alias("error_rate"),
+        F.count_if("is_command").alias("command_execution_rate"),
+        *[F.count_if(F.col("error_kind") == c).alias(c) for c in ERROR_CATEGORIES],
     )
 
 
 def failed_logins_by_ip(logs: DataFrame) -> DataFrame:
     return (
-        logs.filter(P.is_failed_login(F.col("msg")) & X.non_empty(F.col("source_ip")).isNotNull())
+        logs.filter(F.col("is_failed_login") & X.non_empty(F.col("source_ip")).isNotNull())
         .groupBy("cycle", "source_ip")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -117,7 +114,7 @@ def top_failed_ips(logs: DataFrame, k: int = 5) -> DataFrame:
 
 def suspicious_command_samples(logs: DataFrame, k: int = 10, width: int = 100) -> DataFrame:
     """Per cycle: how many suspicious command lines there are, and the first ``k`` of them."""
-    hits = logs.filter(P.is_command(F.col("msg")) & P.has_suspicious_command(F.col("msg"))).select(
+    hits = logs.filter("is_suspicious").select(
         "cycle", "ets", "id", F.substring("message", 1, width).alias("line")
     )
     order = Window.partitionBy("cycle").orderBy("ets", "id")

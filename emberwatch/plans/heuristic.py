@@ -81,7 +81,7 @@ def rapid_file_access(min_access: int = 20, window_seconds: int = 300) -> Burst:
         alert_type="rapid_file_access",
         method=METHOD,
         severity="medium",
-        when=P.any_contains(F.col("msg"), P.FILE_WORDS),
+        when=F.col("is_file"),
         k1=X.or_unknown(F.col("source_ip")),
         k2=X.or_unknown(F.col("user")),
         measure="rows",
@@ -104,15 +104,14 @@ def rapid_file_access(min_access: int = 20, window_seconds: int = 300) -> Burst:
 
 
 def suspicious_command_sequence(min_commands: int = 2, window_seconds: int = 120) -> Burst:
-    text = F.coalesce(X.non_empty(F.col("message")), F.col("raw"))
     return Burst(
         alert_type="suspicious_command_sequence",
         method=METHOD,
         severity="high",
-        when=P.has_suspicious_command(text),
+        when=F.col("command_word").isNotNull(),
         k1=X.or_unknown(F.col("source_ip")),
         k2=X.or_unknown(F.col("user")),
-        value=P.first_word(text, P.SUSPICIOUS_COMMANDS),
+        value=F.col("command_word"),
         measure="rows",
         threshold=min_commands,
         window_seconds=window_seconds,
@@ -135,7 +134,7 @@ def bursts() -> list[Burst]:
 
 
 def off_hours_activity(logs: DataFrame, start: int = 22, end: int = 6) -> DataFrame:
-    hits = logs.filter(P.is_off_hours(F.col("ts"), start, end) & P.any_contains(F.col("msg"), P.OFF_HOURS_WORDS))
+    hits = logs.filter(P.is_off_hours(F.col("ts"), start, end) & F.col("is_off_hours_kind"))
     hour = F.hour("ts")
     return to_alerts(
         hits,

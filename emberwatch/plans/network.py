@@ -81,12 +81,11 @@ def ddos_attack(min_connections: int = 1000, window_seconds: int = 60) -> Burst:
 
 
 def dns_tunneling(min_queries: int = 100, window_seconds: int = 60) -> Burst:
-    is_dns = F.col("msg").contains("dns") | F.coalesce(F.col("protocol") == "dns", F.lit(False))
     return Burst(
         alert_type="dns_tunneling",
         method=METHOD,
         severity="high",
-        when=F.col("network") & is_dns,
+        when=F.col("network") & F.col("is_dns"),
         k1=X.non_empty(F.col("source_ip")),
         measure="rows",
         threshold=min_queries,
@@ -135,7 +134,7 @@ def bursts() -> list[Burst]:
 
 
 def beaconing(
-    logs: DataFrame, min_events: int = 5, max_variation: float = 0.2, slice_seconds: int = 3600
+    logs: DataFrame, min_events: int = 5, max_variation: float = 0.2, slice_seconds: int = 10
 ) -> DataFrame:
     """Regular contact: the gaps between events of a (source, destination) pair hardly vary."""
     pairs = network_logs(logs).select(
