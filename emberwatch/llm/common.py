@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +22,23 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
+_shipped: set[str] = set()
+
+
+def shipped(spark: SparkSession) -> SparkSession:
+    """Have the executors' Python find this package, as ``--py-files`` does, where it isn't installed."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = Path(__file__).resolve().parents[1]
+        path = Path(tempfile.mkdtemp()) / f"{package.name}.zip"  # on the driver, which serves it
+        with zipfile.ZipFile(path, "w") as z:
+            for f in package.rglob("*.py"):
+                z.write(f, f.relative_to(package.parent))
+        context.addPyFile(str(path))
+        _shipped.add(context.applicationId)
+    return spark
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark, path = df.sparkSession, shared_folder(df.sparkSession)
