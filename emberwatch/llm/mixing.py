@@ -20,7 +20,7 @@ WEIGHTS = (5, 2, 1)
 #: No source is repeated more often.
 MOST_EPOCHS = 3
 #: Hex digits of the shuffle key that make up a bucket of a source; each bucket is sorted by itself.
-BUCKET_DIGITS = 3
+BUCKET_DIGITS = 2
 #: Coarse stretches of the schedule in which slots are ranked.
 STRETCHES = 4096
 
