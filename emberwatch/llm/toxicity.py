@@ -23,7 +23,7 @@ GRAMS = (3, 5)
 GRAM_HASHES = 1 << 20
 #: Words and n-grams that fewer training texts hold have no embedding of their own.
 LEAST_TEXTS = 4
-#: Labelled rows of each class that training takes at most, by order of a hash.
+#: Toxic rows that training takes at most, by order of a hash; of clean rows it takes up to twice as many.
 TRAIN_ROWS = 1500
 EPOCHS = 6
 #: Words whose inputs a worker keeps; then it starts anew.
@@ -391,12 +391,12 @@ def held_out() -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[list[str], list[int]]:
-    """Texts and labels of at most ``most`` rows of each class that aren't held out, the first by a hash of the id."""
+    """Texts and labels of rows that aren't held out, the first by a hash: ``most`` toxic ones, twice that of the clean."""
     usable = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     by_hash = [F.xxhash64(F.lit(11), F.col("doc_id")), "doc_id"]
-    chosen = [usable.where(f"toxic = {c}").orderBy(*by_hash).limit(most) for c in (0, 1)]
-    chosen = F.broadcast(chosen[0].union(chosen[1]))  # at most twice ``most`` rows
+    chosen = [usable.where(f"toxic = {c}").orderBy(*by_hash).limit(most * (2 - c)) for c in (0, 1)]
+    chosen = F.broadcast(chosen[0].union(chosen[1]))  # at most three times ``most`` rows
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id").orderBy("doc_id", "text").collect()
     return [r.text or "" for r in rows], [r.toxic for r in rows]
 
@@ -404,9 +404,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) ->
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, most: int = TRAIN_ROWS) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, held_out, score and predicted (1 if the score reaches ``threshold``).
 
-    Learns from ``labels`` (doc_id, toxic) of rows that aren't held out, at most ``most`` of each class; without rows
-    of both classes the score is the share of toxic rows (0 without any). Only the text is an input. Null texts count
-    as empty; an empty text gets the score of a window of nothing. Null and repeated ids are rows like others.
+    Learns from ``labels`` (doc_id, toxic) of rows that aren't held out, see ``training_rows``; without rows of
+    both classes the score is the share of toxic rows (0 without any). Only the text is an input. Null texts count as
+    empty; an empty text gets the score of a window of nothing. Null and repeated ids are rows like others.
     An empty table gives an empty result. Other columns are ignored.
     """
     texts, toxic = training_rows(docs, labels, most)
