@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberwatch.llm import leaks, mixing, near, personal, secrets, shards, toxicity
+from emberwatch.llm import leaks, mixing, near, personal, secrets, shards, toxicity, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +36,14 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.personal_data(_table(spark, sf_dir, "documents"))
 
 
+def op8_wavelet_tokens(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return wavelet.round_trip(_table(spark, sf_dir, "documents"), Path(tokenizer).read_text(encoding="utf-8"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -49,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op6_shards": op6_shards,
     "op7_personal_data": op7_personal_data,
+    "op8_wavelet_tokens": op8_wavelet_tokens,
     "op9_toxicity": op9_toxicity,
     "op10_near_duplicates": op10_near_duplicates,
 }
