@@ -5,7 +5,7 @@ batches, and it is dropped once the posterior chance that its similarity reaches
 miss probability. What survives is verified on the full shingle sets. Links give components by star contraction.
 
 A bucket is never expanded into all its pairs. First every member is compared with the bucket's smallest document.
-Only members that are still in different components are then compared with each other, in blocks of bounded size,
+Only members outside the bucket's largest component are then compared with the others, in blocks of bounded size,
 and only pairs that survive the signatures leave a block. So no candidate pair is skipped unless its two documents
 are in one component already.
 """
@@ -27,7 +27,7 @@ BANDS, ROWS = 40, 6  # a pair at 0.8 shares no band with a chance of 5e-6
 HASHES = BANDS * ROWS
 BATCH = 24  # hashes compared before the next decision
 MISS = 1e-6  # chance, per decision, of dropping a pair that reaches the threshold
-BLOCK = 128  # members of a bucket that are compared at once
+BLOCK = 256  # members of a bucket that are compared at once with as many others
 SEGMENT = 1 << 20  # bytes hashed at once
 
 _SPACE = np.zeros(256, bool)
@@ -220,20 +220,21 @@ def _verified(percent: int):
 
 
 def _in_blocks(percent: int):
-    """Pairs of different components inside a block pair that survive the signatures and the ratio of their sizes."""
+    """Pairs of a stray with a member of another component that survive the signatures and the ratio of their sizes."""
     steps = least_matches(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
-            for i, j, members in zip(batch.column("i"), batch.column("j"), batch.column("members"), strict=True):
+            for members in batch.column("members"):
                 rows = members.as_py()
-                ids, n, comp, block = (np.array([r[c] for r in rows]) for c in ("doc_id", "n", "comp", "block"))
+                ids, n, comp, stray, other = (np.array([r[c] for r in rows]) for c in ("doc_id", "n", "comp", "stray", "other"))
                 sigs = np.frombuffer(b"".join(r["sig"] for r in rows), np.uint16).reshape(-1, HASHES)
-                for x in np.flatnonzero(block == i.as_py()):
-                    others = np.flatnonzero((block == j.as_py()) & (comp != comp[x]) & ((ids > ids[x]) | (i.as_py() != j.as_py())))
-                    others = others[100 * np.minimum(n[others], n[x]) >= percent * np.maximum(n[others], n[x])]
-                    hit = others[surviving(sigs[others], np.broadcast_to(sigs[x], (len(others), HASHES)), steps)]
+                for x in np.flatnonzero(other):
+                    # Two strays meet twice; the larger one takes the smaller.
+                    near = np.flatnonzero(~other & (comp != comp[x]) & (~stray | (ids < ids[x])))
+                    near = near[100 * np.minimum(n[near], n[x]) >= percent * np.maximum(n[near], n[x])]
+                    hit = near[surviving(sigs[near], np.broadcast_to(sigs[x], (len(near), HASHES)), steps)]
                     a += np.minimum(ids[hit], ids[x]).tolist()
                     b += np.maximum(ids[hit], ids[x]).tolist()
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -313,14 +314,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     # Members that the stars left in different components.
     labelled = members.where("m > 2").join(first.select(F.col("node").alias("doc_id"), F.col("component").alias("comp")), "doc_id", "left")
     labelled = labelled.withColumn("comp", F.coalesce("comp", "doc_id"))
-    mixed = labelled.groupBy("key").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low < _high").select("key")
-    rest = labelled.join(mixed, "key").where("doc_id <> head")
-    rest = rest.withColumn("_blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int"))
-    rest = rest.join(sigs, "doc_id").withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    rest = rest.groupBy("key", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"))
-    rest = rest.agg(F.collect_list(F.struct("doc_id", "n", "comp", "block", "sig")).alias("members")).where("size(members) > 1")
-    pairs = rest.select("i", "j", "members").mapInArrow(_in_blocks(percent), "a long, b long").distinct()
+    labelled = labelled.select("key", "head", "doc_id", "comp")
+    # Of a bucket's components the largest needn't be compared with itself, so only the others, the strays, are laid
+    # against all members: blocks of strays against blocks of members.
+    sizes = labelled.groupBy("key", "comp").agg(F.count("*").alias("_n")).groupBy("key")
+    sizes = sizes.agg(F.max_by("comp", F.struct("_n", "comp")).alias("_main"), F.max("_n").alias("_top"), F.sum("_n").alias("_all"))
+    sizes = sizes.where("_top < _all").select(
+        "key", "_main", F.ceil(F.col("_all") / BLOCK).alias("_blocks"), F.ceil((F.col("_all") - F.col("_top")) / BLOCK).alias("_strays")
+    )
+    rest = labelled.join(sizes, "key").where("doc_id <> head").withColumn("stray", F.col("comp") != F.col("_main")).join(sigs, "doc_id")
+    hashed = F.xxhash64("doc_id")
+    row = F.struct("doc_id", "n", "comp", "stray", "other", "sig").alias("row")
+    ones = rest.withColumn("i", F.pmod(hashed, "_blocks")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("_strays") - 1)))
+    ones = ones.withColumn("other", F.lit(False)).select("key", "i", "j", row)
+    others = rest.where("stray").withColumn("j", F.pmod(hashed, "_strays")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    others = others.withColumn("other", F.lit(True)).select("key", "i", "j", row)
+    rest = ones.unionByName(others).groupBy("key", "i", "j").agg(F.collect_list("row").alias("members"))
+    pairs = rest.select("members").mapInArrow(_in_blocks(percent), "a long, b long").distinct()
     more = _exact(pairs, sets, percent)
     linked = components(first.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more))
 
