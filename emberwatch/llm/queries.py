@@ -6,8 +6,9 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from emberwatch.llm import leaks, mixing, near, personal, secrets, shards, toxicity, wavelet
+from emberwatch.llm import ann, leaks, mixing, near, personal, secrets, shards, toxicity, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +29,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign(_table(spark, sf_dir, "documents"))
 
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": op2_secrets,
     "op3_leaks": op3_leaks,
     "op4_mixing": op4_mixing,
+    "op5_neighbours": op5_neighbours,
     "op6_shards": op6_shards,
     "op7_personal_data": op7_personal_data,
     "op8_wavelet_tokens": op8_wavelet_tokens,
