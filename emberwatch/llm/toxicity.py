@@ -224,7 +224,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7, epochs: int = EPOC
         return None
     draw = np.random.default_rng(seed)
     known: dict[bytes, int] = {b"": 0}
-    tokens = [np.array([known.setdefault(w, len(known)) for w in _words(t)], np.int64) for t in texts]
+    tokens = [np.array([known.setdefault(w, len(known)) for w in _words(t)], np.int32) for t in texts]
     vocabulary = list(known)
     hashes, n = _grams(vocabulary)
     firsts = np.cumsum(n) - n
@@ -253,7 +253,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7, epochs: int = EPOC
     own[common] = np.arange(1, len(common) + 1)
     share = (1 / np.sqrt(np.maximum(n, 1)))[:, None]
     starts = [cut(len(t)) for t in tokens]
-    odds = net.word[own, 0] + (_sums(net.gram[grams], n) * share)[:, 0]
+    odds = net.word[own, 0] + (_sums(net.gram[:, :1][grams], n) * share)[:, 0]
 
     def best(ids: np.ndarray, score) -> np.ndarray:
         """Start of the highest window of each text."""
@@ -263,7 +263,11 @@ def train(texts: list[str], labels: list[int], seed: int = 7, epochs: int = EPOC
         return np.array([f + values[f : f + c].argmax() for f, c in zip(firsts, counts, strict=True)]), wins, values
 
     def logits(wins: np.ndarray) -> np.ndarray:
-        table = np.ascontiguousarray(net.projected(net.word[own] + _sums(net.gram[grams], n) * share).T)
+        table = np.empty((6 * HIDDEN, len(own)), np.float32)
+        for at in range(0, len(own), 20_000):
+            some = slice(at, at + 20_000)
+            pieces = grams[firsts[at] : firsts[at] + n[some].sum()]
+            table[:, some] = net.projected(net.word[own[some]] + _sums(net.gram[pieces], n[some]) * share[some]).T
         return np.concatenate([net.logits(table, wins[i : i + 2048]) for i in range(0, len(wins), 2048)])
 
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
