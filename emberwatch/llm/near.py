@@ -85,7 +85,7 @@ def shingle_sets(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
     ends = np.cumsum([len(t) + 1 for t in texts])
     upto = np.searchsorted(starts, ends)
     rolled = np.zeros(len(hashes), np.uint64)
-    for i in range(k):
+    for i in range(min(k, len(hashes))):
         rolled[: len(hashes) - i] += hashes[i:] * _FOLD[i]
     rolled = _mixed(rolled)
     first = 0

@@ -328,7 +328,14 @@ def train(texts: list[str], labels: list[int], seed: int = 7, epochs: int = EPOC
 
 
 class Scorer:
-    """Scores texts one batch at a time; keeps the inputs of words it has met."""
+    """Scores texts one batch at a time; keeps the inputs of words it has met, also from task to task."""
+
+    @staticmethod
+    def of(net: Network) -> Scorer:
+        """The scorer of this process for a network that was sent to it."""
+        if not hasattr(net, "scorer"):
+            net.scorer = Scorer(net)
+        return net.scorer
 
     def __init__(self, net: Network):
         self.net, self.known, self.table, self.used = net, {}, np.zeros((6 * HIDDEN, 1 << 16), np.float32), 1
@@ -419,7 +426,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, most: int
     model = shipped(docs.sparkSession).sparkContext.broadcast(net)  # a few MB, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model.value) if model.value else None
+        scorer = Scorer.of(model.value) if model.value else None
         for batch in batches:
             values = scorer.scores(x.as_py() for x in batch.column(1)) if scorer else [constant] * batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(values, pa.float64())], ["doc_id", "held_out", "score"])
