@@ -31,11 +31,12 @@ BLOCK = 1 << 14
 #: Tokens after which a shard ends, at the end of a document.
 SHARD_TOKENS = 1 << 22
 END = 0
-#: Pieces of text whose ids a worker keeps; then it starts anew.
-KEPT_PIECES = 800_000
+#: Pieces of text whose ids a worker keeps, from task to task.
+KEPT_PIECES = 1_500_000
 
 _UNSAFE = re.compile(r" (?=\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
+_SPACE = re.compile(r"[\s\x85]")
 
 
 class Encoder:
@@ -51,24 +52,59 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(model)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.line_feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        self.first: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
 
     @staticmethod
     def pieces(text: str) -> list[str]:
-        parts = _CUT.split(text) if _UNSAFE.search(text) else text.split(" ")
-        return [parts[0], *[" " + p for p in parts[1:]]]
+        """The first piece, and the others without the space that they start with."""
+        return _CUT.split(text) if _UNSAFE.search(text) else text.split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian 16-bit integers."""
-        if len(self.known) > KEPT_PIECES:
-            self.known = {}
-        known, cut = self.known, [self.pieces(t) for t in texts]
-        new = list(set().union(*cut).difference(known))
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for piece, ids in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[piece] = np.array(ids.ids, "<u2").tobytes()
-        return [b"".join(map(known.__getitem__, c)) for c in cut]
+        cut = [self.pieces(t) for t in texts]
+        starts = [c.pop(0) for c in cut]
+        met = self._meet(self.first, set(starts), ""), self._meet(self.known, set().union(*cut), " ")
+        out = [self.first[s] + b"".join(map(self.known.__getitem__, c)) for s, c in zip(starts, cut, strict=True)]
+        for known, new in zip((self.first, self.known), met, strict=True):
+            if len(known) > KEPT_PIECES:  # what came first is what is frequent; it stays
+                for piece in new:
+                    del known[piece]
+        return out
+
+    def _meet(self, known: dict[str, bytes], pieces: set[str], space: str) -> list[str]:
+        """Encode the pieces that aren't known yet.
+
+        Those without white space are encoded a line of many at a time: a line feed that stands before a letter or
+        before a single space is a token of its own.
+        """
+        new = list(pieces.difference(known))
+        plain = [p for p in new if p and not _SPACE.search(p)]
+        lines = [plain[i : i + 500] for i in range(0, len(plain), 500)]
+        joined = ["\n".join(space + p for p in line) for line in lines]
+        for line, ids in zip(lines, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            ids = np.array(ids.ids, "<u2")
+            ends = np.append(np.flatnonzero(ids == self.line_feed), len(ids))
+            raw, at = ids.tobytes(), 0
+            for piece, end in zip(line, (2 * ends).tolist(), strict=True):
+                known[piece] = raw[at:end]
+                at = end + 2
+        for piece in new:
+            if not piece or _SPACE.search(piece):
+                known[piece] = np.array(self.tokenizer.encode(space + piece, add_special_tokens=False).ids, "<u2").tobytes()
+        return new
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(model: str) -> Encoder:
+    """This process's encoder, with what it has met in earlier tasks."""
+    if model not in _encoders:
+        _encoders.clear()
+        _encoders[model] = Encoder(model)
+    return _encoders[model]
 
 
 def build(ids: np.ndarray, docs: list[int | None], lengths: list[int]) -> bytes:
@@ -183,7 +219,7 @@ class WaveletMatrix:
 
 def _shards(model, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq = Encoder(model.value), TaskContext.get().partitionId(), 0
+        encoder, part, seq = encoder_of(model.value), TaskContext.get().partitionId(), 0
         docs: list[int | None] = []
         held: list[bytes] = []
         tokens = 0
