@@ -15,6 +15,7 @@ from emberwatch.functions.fields import json_map
 from emberwatch.schema import ALERT_SCHEMA, LOG_SCHEMA, THREAT_INTEL_SCHEMA
 
 _local_folders: dict[str, str] = {}
+# The columns that logs can be filtered by.
 FILTER_COLUMNS = ("appname", "host", "hostname", "source_type", "file")
 
 
