@@ -63,19 +63,19 @@ def burst(
 
 def brute_force_attempt(least=5):
     return burst("brute_force_attempt", "anomaly_detection", "high", FAILED, IP, least,
-                 "concat('Possible brute force attack from ', k1, ': ', n, ' failed login attempts')", ip="k1", log=False)
+                 "concat('Password guessing by ', k1, ': ', n, ' sign-ins refused')", ip="k1", log=False)
 
 
 def port_scan_detected(least=10):
     return burst("port_scan_detected", "anomaly_detection", "high", f"{DEST} IS NOT NULL", IP, least,
-                 "concat('Possible port scan from ', k1, ': ', d, ' unique destinations')",
+                 "concat('Many targets for ', k1, ': ', d, ' different targets')",
                  measure="d", value=DEST, ip="k1", log=False)
 
 
 def lateral_movement(least, seconds):
     return burst("lateral_movement", "heuristic_analyzer", "high", f"({IP} IS NOT NULL OR {USER} IS NOT NULL)",
                  f"coalesce({IP}, 'unknown')", least,
-                 f"concat('Lateral movement detected: accessed ', d, ' hosts in {seconds // 60} minutes')", measure="d",
+                 f"concat('One user on many machines: ', d, ' hosts in {seconds // 60} minutes')", measure="d",
                  seconds=seconds, k2=f"coalesce({USER}, 'unknown')", value="nullif(host, '')", ip="k1", user="k2")
 
 
@@ -85,14 +85,14 @@ def _commas(c):
 
 def data_exfiltration(least, seconds):
     return burst("data_exfiltration", "heuristic_analyzer", "critical", f"({BYTES}) > 0", IP, least,
-                 f"concat('Large data transfer detected: ', {_commas('a')}, ' bytes')", measure="a", seconds=seconds,
+                 f"concat('Much data left: ', {_commas('a')}, ' bytes')", measure="a", seconds=seconds,
                  amount=BYTES, ip="k1")
 
 
 def rapid_file_access(least, seconds):
     return burst("rapid_file_access", "heuristic_analyzer", "medium", any_word("msg", P.FILE_WORDS),
                  f"coalesce({IP}, 'unknown')", least,
-                 f"concat('Rapid file access detected: ', n, ' accesses in {seconds // 60} minutes')", seconds=seconds,
+                 f"concat('Files opened in quick succession: ', n, ' accesses in {seconds // 60} minutes')", seconds=seconds,
                  k2=f"coalesce({USER}, 'unknown')", ip="k1", user="k2")
 
 
@@ -101,38 +101,38 @@ def suspicious_command_sequence(least, seconds):
     first = "CASE " + " ".join(f"WHEN contains({text}, '{w}') THEN '{w}'" for w in P.SUSPICIOUS_COMMANDS) + " END"
     return burst("suspicious_command_sequence", "heuristic_analyzer", "high", any_word(text, P.SUSPICIOUS_COMMANDS),
                  f"coalesce({IP}, 'unknown')", least,
-                 "concat('Suspicious command sequence detected: ', array_to_string(vals, ', '))", seconds=seconds,
+                 "concat('Commands of an attack in one session: ', array_to_string(vals, ', '))", seconds=seconds,
                  k2=f"coalesce({USER}, 'unknown')", value=first, ip="k1", user="k2", host="nullif(first_host, '~')")
 
 
 def port_scan(least, seconds):
     return burst("port_scan", "network_analyzer", "high", f"{NETWORK} AND {PORT} IS NOT NULL", IP, least,
-                 "concat('Port scanning detected: ', d, ' unique ports scanned from ', k1)", measure="d",
+                 "concat('Many ports tried: ', d, ' different ports, all from ', k1)", measure="d",
                  seconds=seconds, value=PORT, ip="k1")
 
 
 def ddos_attack(least, seconds):
     return burst("ddos_attack", "network_analyzer", "critical", NETWORK, f"nullif({js('dest_ip')}, '')", least,
-                 "concat('DDoS attack detected: ', n, ' connections to ', k1, ' from ', d, ' sources')",
+                 "concat('Flood of connections: ', n, ' connections to ', k1, ' from ', d, ' sources')",
                  seconds=seconds, value=IP, dest="k1")
 
 
 def dns_tunneling(least, seconds):
     return burst("dns_tunneling", "network_analyzer", "high",
                  f"{NETWORK} AND (contains(msg, 'dns') OR coalesce({js('protocol')} = 'dns', false))", IP, least,
-                 "concat('DNS tunneling suspected: ', n, ' DNS queries from ', k1)", seconds=seconds, ip="k1")
+                 "concat('Names looked up too often: ', n, ' lookups by ', k1)", seconds=seconds, ip="k1")
 
 
 def bandwidth_anomaly(least, seconds):
     size = f"try_cast({js('bytes')} AS BIGINT)"
     return burst("bandwidth_anomaly", "network_analyzer", "high", f"{NETWORK} AND {size} > 0", IP, least,
-                 f"concat('High bandwidth usage detected: ', {_commas('a')}, ' bytes from ', k1)", measure="a",
+                 f"concat('Heavy traffic: ', {_commas('a')}, ' bytes from ', k1)", measure="a",
                  seconds=seconds, amount=size, ip="k1")
 
 
 def off_hours_activity():
     return row("'off_hours_activity'", "heuristic_analyzer", "'medium'",
-               "concat('Activity detected during off-hours (', lpad(CAST(hour(ts) AS VARCHAR), 2, '0'), ':00)')", "x",
+               "concat('Work outside office hours (', lpad(CAST(hour(ts) AS VARCHAR), 2, '0'), ':00)')", "x",
                f"(hour(ts) >= 22 OR hour(ts) < 6) AND {any_word('msg', P.OFF_HOURS_WORDS)}",
                log_id="id", ip="source_ip", user='"user"', host="host")
 
@@ -141,14 +141,14 @@ def protocol_anomaly():
     port = f"nullif(try_cast({js('dest_port')} AS INT), 0)"
     proto = f"nullif({js('protocol')}, '')"
     return row("'protocol_anomaly'", "network_analyzer", "'medium'",
-               f"concat('Unusual protocol/port combination: ', {proto}, ' on port ', {port})", "x",
+               f"concat('Protocol on a foreign port: ', {proto}, ' on port ', {port})", "x",
                f"{NETWORK} AND lower({proto}) IN ('http', 'https') AND {port} NOT IN (80, 443, 8080, 8443)",
                log_id="id", ip="source_ip")
 
 
 def suspicious_commands():
     return row("'suspicious_commands'", "anomaly_detection", "'high'",
-               "concat('Suspicious commands detected: ', n, ' instances')",
+               "concat('Commands that attackers use: ', n, ' instances')",
                f"(SELECT cycle, count(*) AS n FROM x WHERE {COMMAND} AND {SUSPICIOUS} GROUP BY cycle)")
 
 
@@ -165,7 +165,7 @@ def brute_force_success(least, seconds):
     WINDOW g AS (PARTITION BY cycle, k1, k2, grp ORDER BY ets, id ROWS UNBOUNDED PRECEDING))
   WHERE s = 1 AND nf >= {least} AND ets - lf <= INTERVAL '{seconds} seconds' GROUP BY cycle, k1, k2)"""
     return row("'brute_force_success'", "heuristic_analyzer", "'high'",
-               "concat('Brute force attack detected: ', CAST(nf AS BIGINT), ' failed logins followed by successful login')",
+               "concat('A guessed password worked: ', CAST(nf AS BIGINT), ' refusals, then a sign-in')",
                steps, log_id="id", ip="k1", user="k2", host="nullif(host, '~')")
 
 
@@ -180,7 +180,7 @@ def privilege_escalation(seconds, rearm=False):
       FROM (SELECT cycle, ets, id, host, {USER} AS k, {LOGIN} AS login, {any_word('msg', P.PRIVILEGE_WORDS)} AS esc
             FROM x WHERE {USER} IS NOT NULL) WHERE login OR esc)))"""
     return row("'privilege_escalation'", "heuristic_analyzer", "'critical'",
-               "'Privilege escalation detected shortly after login'", steps,
+               "'Higher rights taken soon after sign-in'", steps,
                f"esc AND anchor IS NOT NULL AND ets - anchor <= INTERVAL '{seconds} seconds' AND NOT dead",
                log_id="id", user="k", host="host",
                more=", round(epoch(ets - anchor), 3) AS time_since_login")
@@ -192,7 +192,7 @@ def beaconing(least, variation):
     FROM (SELECT cycle, {IP} AS src, nullif({js('dest_ip')}, '') AS dst, ts FROM x WHERE {NETWORK})
     WHERE src IS NOT NULL AND dst IS NOT NULL AND ts IS NOT NULL) GROUP BY cycle, src, dst)"""
     return row("'beaconing'", "network_analyzer", "'critical'",
-               "concat('C2 beaconing detected: regular connections from ', src, ' to ', dst)", stats,
+               "concat('Calls home at even intervals from ', src, ' to ', dst)", stats,
                f"n >= {least} AND m > 0 AND s / m < {variation}", ip="src", dest="dst",
                more=", n AS connection_count, round(m, 3) AS mean_interval, round(s / m, 6) AS variation")
 
@@ -236,7 +236,7 @@ def request_anomalies(limit, base="b", plain=100):
     counts = f"(SELECT cycle, {IP} AS ip, count(*) AS value FROM x WHERE {IP} IS NOT NULL GROUP BY 1, 2)"
     if base is None:
         return row("'high_request_rate'", "anomaly_detection", "'medium'",
-                   "concat('High request rate from ', ip, ': ', value, ' requests')", counts, f"value > {plain}",
+                   "concat('Very many requests by ', ip, ': ', value, ' requests')", counts, f"value > {plain}",
                    ip="ip", more=", value, CAST(NULL AS DOUBLE) AS z")
     frm = f"(SELECT c.*, (value - mean) / nullif(std, 0) AS z FROM {counts} c JOIN {base} b ON b.metric = 'requests_per_ip')"
     return row("'request_rate_anomaly'", "anomaly_detection", "'medium'", "CAST(NULL AS VARCHAR)", frm,
@@ -269,7 +269,7 @@ def unusual_login_time(share=0.05):
     SELECT "user" AS u, CAST(item AS INT) AS hr, n / sum(n) OVER (PARTITION BY "user") AS share FROM prof WHERE facet = 'login_hour') s
     ON s.u = a."user" AND s.hr = hour(a.ts) WHERE """ + f"{LOGIN} AND coalesce(s.share, 0) < {share})"
     return row("'unusual_login_time'", "behavioral_analyzer", "'medium'",
-               "concat('User ', \"user\", ' logged in at unusual time (', lpad(CAST(h AS VARCHAR), 2, '0'), ':00)')", frm,
+               "concat('User ', \"user\", ' signed in at an hour new to them (', lpad(CAST(h AS VARCHAR), 2, '0'), ':00)')", frm,
                log_id="id", user='"user"', host="host")
 
 
@@ -281,12 +281,12 @@ def _unseen(kind, severity, facet, item, text, ip="NULL"):
 
 
 def unusual_source_ip():
-    return _unseen("unusual_source_ip", "high", "source_ip", "nullif(a.source_ip, '')", " accessed from unusual IP: ", "item")
+    return _unseen("unusual_source_ip", "high", "source_ip", "nullif(a.source_ip, '')", " came from an address new to them: ", "item")
 
 
 def unusual_resource_access():
     return _unseen("unusual_resource_access", "medium", "resource",
-                   "json_extract_string(a.normalized, '$.resource')", " accessed unusual resource: ")
+                   "json_extract_string(a.normalized, '$.resource')", " opened something new to them: ")
 
 
 # --- rules ---------------------------------------------------------------------------------
@@ -398,7 +398,7 @@ INTEL = """SELECT concat('ti-', s_suppkey) AS id,
 
 def blocked_ips():
     return row("'blocked_ip_detected'", "signature_detector", "'high'",
-               "concat('Connection from blocked IP address: ', source_ip)", "x", f"source_ip IN ({BLOCKED.replace('AS ip ', '')})",
+               "concat('An address on the block list connected: ', source_ip)", "x", f"source_ip IN ({BLOCKED.replace('AS ip ', '')})",
                log_id="id", ip="source_ip", host="host")
 
 
@@ -410,7 +410,7 @@ def known_hashes():
       (SELECT *, list_filter(list_concat({found}, [{keys}]), lambda z: z IS NOT NULL) AS hs FROM x)) v JOIN ({HASHES}) k ON k.hash = lower(v.h))
     GROUP BY cycle, id, host)"""
     return row("'malicious_hash_detected'", "signature_detector", "severity",
-               "concat('Malicious file hash detected: ', name)", frm, log_id="id", host="host")
+               "concat('A file known to be harmful: ', name)", frm, log_id="id", host="host")
 
 
 DOMAIN = "\\b(?:[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?\\.)+[a-zA-Z]{2,}\\b"
@@ -442,5 +442,5 @@ def threat_intel(as_of):
   ON t.indicator_type = i.type AND t.value = i.value WHERE place = 1)"""
     return row("concat('threat_intel_', type)", "threat_intel_matcher",
                "CASE WHEN conf >= 0.8 THEN 'critical' WHEN conf >= 0.6 THEN 'high' WHEN conf >= 0.4 THEN 'medium' ELSE 'low' END",
-               "concat('Threat intelligence match: ', type, ' ', value, ' (', threat, ')')", frm, log_id="id",
+               "concat('Listed by a threat feed: ', type, ' ', value, ' (', threat, ')')", frm, log_id="id",
                ip="source_ip", user='"user"', host="host", rule="value")

@@ -319,14 +319,17 @@ def indicators_active(spark, sf):
 
 @register(
     "new_indicators",
-    f"""SELECT DISTINCT indicator_type, lower(trim(indicator_value)) AS value FROM ({D.INTEL}) i
-WHERE expires_at IS NULL AND NOT EXISTS (SELECT 1 FROM ({D.INTEL}) e WHERE e.expires_at IS NOT NULL
-  AND e.indicator_type = i.indicator_type AND lower(trim(e.indicator_value)) = lower(trim(i.indicator_value)))""",
+    f"""SELECT id, indicator_type, value, threat_type, CAST(confidence AS DOUBLE) AS confidence, source FROM (
+  SELECT *, lower(trim(indicator_value)) AS value, row_number() OVER (PARTITION BY indicator_type, lower(trim(indicator_value))
+    ORDER BY confidence DESC NULLS LAST, created_at DESC, id) AS place FROM ({D.INTEL}) WHERE expires_at IS NULL) i
+WHERE place = 1 AND NOT EXISTS (SELECT 1 FROM ({D.INTEL}) e WHERE e.expires_at IS NOT NULL
+  AND e.indicator_type = i.indicator_type AND lower(trim(e.indicator_value)) = i.value)""",
 )
 def indicators_new(spark, sf):
     all_ = intel(spark, sf)
     fresh = T.new_indicators(all_.filter("expires_at IS NOT NULL"), all_.filter("expires_at IS NULL"))
-    return fresh.select("indicator_type", F.lower(F.trim("indicator_value")).alias("value"))
+    value = F.lower(F.trim("indicator_value")).alias("value")
+    return fresh.select("id", "indicator_type", value, "threat_type", "confidence", "source")
 
 
 @register("signature_text_alerts", V.text_sql(alert_rows(D.signatures(DEFAULT_SIGNATURES))))
@@ -665,8 +668,8 @@ alerts AS MATERIALIZED (SELECT * EXCLUDE (place), CAST(created AS TIMESTAMP) AS
   ORDER BY priority_score DESC, list_position({_METHODS}, detection_method), log_id NULLS FIRST, id) AS place FROM found) WHERE place = 1)"""
 
 
-def _cycle_sql(body: str) -> str:
-    return V.sql(body, extra=_ALERT_CTES)
+def _cycle_sql(body: str, more: str = "") -> str:
+    return V.sql(body, extra=f"{_ALERT_CTES},\n{more}" if more else _ALERT_CTES)
 
 
 def detector_plans(spark: SparkSession, sf: str) -> dict[str, detect.Detector]:
@@ -896,34 +899,27 @@ def event_stream(spark: SparkSession, sf: str) -> DataFrame:
     return E.logs_from_events(C.read_stream(spark, sf, schema, glob="events.parquet"))
 
 
-_STREAMED = [D.brute_force_attempt(5), D.lateral_movement(3, DAY), D.off_hours_activity(), D.blocked_ips()]
-_STREAM_CTES = f"""found AS MATERIALIZED (SELECT *, {_WEIGHT} AS priority_score FROM ({alert_rows(
-    ' UNION ALL '.join(f'SELECT {_COMMON} FROM ({s})' for s in _STREAMED))})),
-alerts AS MATERIALIZED (SELECT * EXCLUDE (place) FROM (SELECT *, row_number() OVER (
-  PARTITION BY created, alert_type, host, source_ip, "user"
-  ORDER BY priority_score DESC, list_position({_METHODS}, detection_method), log_id NULLS FIRST, id) AS place FROM found) WHERE place = 1)"""
+def _in_parts(spark: SparkSession, sf: str, out: str) -> DataFrame:
+    """The events as a stream of three files, cut inside a day, of which two come in the first micro-batch."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    events = E.table(spark, sf, "events")
+    parts = ("ts < '2024-01-11 07:00:00'", "ts >= '2024-01-11 07:00:00' AND ts < '2024-01-20 13:00:00'", "ts >= '2024-01-20 13:00:00'")
+    for i, part in enumerate(parts):
+        events.where(part).coalesce(1).write.parquet(f"{out}/in/part={i}")
+    return E.logs_from_events(C.read_stream(spark, f"{out}/in/*", events.schema, max_files=2))
 
 
 @register(
     "stream_cycle_alerts",
-    V.sql(
-        'SELECT id, alert_type, detection_method, severity, log_id, source_ip, dest_ip, "user", host, created FROM alerts',
-        extra=_STREAM_CTES,
-    ),
+    _cycle_sql('SELECT id, alert_type, detection_method, severity, log_id, source_ip, dest_ip, "user", host, created FROM alerts'),
 )
 def stream_cycle_alerts(spark, sf):
+    """All detectors over a stream whose cycles are split between micro-batches."""
     out = T.new_folder(spark, "stream-alerts")
-    bursts = [BURSTS[n][0]() for n in ("brute_force_attempt", "lateral_movement")]
-
-    def found(_now):
-        return {
-            "bursts": lambda logs: burst_alerts(logs, bursts),
-            "off_hours": heuristic.off_hours_activity,
-            "blocked": lambda logs: blocked_ip_alerts(logs, blocked(spark, sf)),
-        }
-
-    C.run_cycles(event_stream(spark, sf), found, f"{out}/alerts", f"{out}/checkpoint", cycle_seconds=DAY).awaitTermination()
-    return shown(T.read_alerts(spark, f"{out}/alerts"), False)
+    found = detector_plans(spark, sf)
+    stream = _in_parts(spark, sf, out)
+    C.run_cycles(stream, lambda _: found, f"{out}/alerts", f"{out}/checkpoint", cycle_seconds=DAY).awaitTermination()
+    return shown(T.read_cycle_alerts(spark, f"{out}/alerts"), False)
 
 
 @register(
@@ -947,12 +943,26 @@ def stream_profiles(spark, sf):
     return C.latest_profiles(spark, f"{out}/rows")
 
 
-@register("stream_deduplicated", _cycle_sql('SELECT DISTINCT alert_type, host, source_ip, "user" FROM alerts'))
+@register(
+    "stream_deduplicated",
+    _cycle_sql(
+        """SELECT a.id, a.alert_type, a.host, a.source_ip, a."user", a.severity, a.created FROM ranked a
+JOIN reach r ON a.k = r.k AND a.created_at = r.t WHERE a.best = 1""",
+        f"""ranked AS MATERIALIZED (SELECT *, concat_ws('|', alert_type, coalesce(host, ''), coalesce(source_ip, ''), coalesce("user", '')) AS k,
+  row_number() OVER (PARTITION BY alert_type, coalesce(host, ''), coalesce(source_ip, ''), coalesce("user", ''), created_at
+    ORDER BY priority_score DESC, id) AS best FROM alerts),
+reach AS (SELECT k, unnest(list_reduce(list_transform(list_sort(list(DISTINCT created_at)), lambda x: [x]),
+  lambda kept, x: CASE WHEN x[1] > kept[-1] + INTERVAL {3 * DAY} SECONDS THEN list_concat(kept, x) ELSE kept END)) AS t FROM ranked GROUP BY k)""",
+    ),
+)
 def stream_deduplicated(spark, sf):
-    """All stored alerts arrive in one micro-batch, so one alert of every key remains."""
+    """Stored alerts arrive in four micro-batches by time; of a key those remain that are over three days apart."""
     out = T.new_folder(spark, "stream-dedup")
-    T.append_alerts(alerts(spark, sf), f"{out}/in")
-    schema = spark.read.parquet(f"{out}/in").schema
-    arriving = spark.readStream.schema(schema).parquet(f"{out}/in")
-    C.write_files(C.first_of_each(arriving), f"{out}/rows", f"{out}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{out}/rows").select(*detect.DEDUP_KEY)
+    stored = alerts(spark, sf)
+    for i, days in enumerate(((1, 8), (8, 15), (15, 24), (24, 99))):
+        day = F.datediff("created_at", F.lit("2024-01-01")) + 1
+        stored.where((day >= days[0]) & (day < days[1])).coalesce(1).write.parquet(f"{out}/in/part={i}")
+    arriving = C.read_stream(spark, f"{out}/in/*", stored.schema, max_files=1)
+    C.write_files(C.first_of_each(arriving, f"{3 * DAY} seconds"), f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    rows = spark.read.parquet(f"{out}/rows")
+    return rows.select("id", *detect.DEDUP_KEY, "severity", V.stamp("created_at").alias("created"))

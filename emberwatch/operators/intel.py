@@ -46,7 +46,7 @@ def threat_intel_alerts(logs: DataFrame, intel: DataFrame, as_of: datetime | str
         alert_type=F.concat(F.lit("threat_intel_"), F.col("type")),
         severity=confidence_severity(F.col("confidence")),
         description=F.concat(
-            F.lit("Threat intelligence match: "), F.col("type"), F.lit(" "), F.col("value"), F.lit(" ("), threat, F.lit(")")
+            F.lit("Listed by a threat feed: "), F.col("type"), F.lit(" "), F.col("value"), F.lit(" ("), threat, F.lit(")")
         ),
         metadata=payload(
             {

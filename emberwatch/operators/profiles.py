@@ -120,7 +120,7 @@ def unusual_login_time(
         "unusual_login_time",
         "medium",
         F.concat(
-            F.lit("User "), F.col("user"), F.lit(" logged in at unusual time ("), two_digits, F.lit(":00)")
+            F.lit("User "), F.col("user"), F.lit(" signed in at an hour new to them ("), two_digits, F.lit(":00)")
         ),
         {"login_hour": F.col("hour"), "typical_hours": F.col("typical_hours"), "deviation_type": F.lit("time")},
     )
@@ -141,7 +141,7 @@ def unusual_source_ip(
         hits,
         "unusual_source_ip",
         "high",
-        F.concat(F.lit("User "), F.col("user"), F.lit(" accessed from unusual IP: "), F.col("new_item")),
+        F.concat(F.lit("User "), F.col("user"), F.lit(" came from an address new to them: "), F.col("new_item")),
         {
             "source_ip": F.col("new_item"),
             "typical_ips": F.col("items"),
@@ -162,7 +162,7 @@ def unusual_resource_access(
         hits,
         "unusual_resource_access",
         "medium",
-        F.concat(F.lit("User "), F.col("user"), F.lit(" accessed unusual resource: "), F.col("new_item")),
+        F.concat(F.lit("User "), F.col("user"), F.lit(" opened something new to them: "), F.col("new_item")),
         {
             "resource": F.col("new_item"),
             "typical_resources": F.col("items"),

@@ -74,16 +74,21 @@ def field_value(name: str) -> Column:
     )
 
 
+def as_text(value: Any) -> str:
+    """A value of a rule file as it reads in the fields of a log, which come from JSON."""
+    return value if isinstance(value, str) else json.dumps(value)
+
+
 def selection(criteria: dict[str, Any]) -> Column:
     """All criteria hold; a field without a value fails every criterion, ``not`` included."""
     ok = F.lit(True)
     for name, wanted in criteria.items():
         value = field_value(name)
         if isinstance(wanted, list):
-            test = value.isin(*[str(w) for w in wanted])
+            test = value.isin(*[as_text(w) for w in wanted])
         elif isinstance(wanted, dict):
             if "not" in wanted:
-                test = value != str(wanted["not"])
+                test = value != as_text(wanted["not"])
             elif "contains" in wanted:
                 test = F.lower(value).contains(str(wanted["contains"]).lower())
             elif "regex" in wanted:
@@ -91,7 +96,7 @@ def selection(criteria: dict[str, Any]) -> Column:
             else:
                 test = value.isNotNull()
         else:
-            test = F.lower(value) == str(wanted).lower()
+            test = F.lower(value) == as_text(wanted).lower()
         ok = ok & F.coalesce(test, F.lit(False))
     return ok
 

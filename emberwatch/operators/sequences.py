@@ -134,14 +134,14 @@ def brute_force_success(
         alert_type=F.lit("brute_force_success"),
         severity=F.lit("high"),
         description=F.concat(
-            F.lit("Brute force attack detected: "),
+            F.lit("A guessed password worked: "),
             F.col("failed_count").cast("string"),
-            F.lit(" failed logins followed by successful login"),
+            F.lit(" refusals, then a sign-in"),
         ),
         metadata=payload(
             {
                 "rule_id": F.lit("HEUR-001"),
-                "rule_name": F.lit("Multiple Failed Logins Followed by Success"),
+                "rule_name": F.lit("Sign-in after refusals"),
                 "source_ip": F.col("k_ip"),
                 "user": F.col("k_user"),
                 "failed_count": F.col("failed_count"),
@@ -214,7 +214,7 @@ def privilege_escalation(
         method="heuristic_analyzer",
         alert_type=F.lit("privilege_escalation"),
         severity=F.lit("critical"),
-        description=F.lit("Privilege escalation detected shortly after login"),
+        description=F.lit("Higher rights taken soon after sign-in"),
         metadata=payload(
             {
                 "rule_id": F.lit("HEUR-002"),

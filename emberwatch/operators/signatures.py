@@ -164,7 +164,7 @@ def blocked_ip_alerts(logs: DataFrame, blocked: DataFrame) -> DataFrame:
         method=METHOD,
         alert_type=F.lit("blocked_ip_detected"),
         severity=F.lit("high"),
-        description=F.concat(F.lit("Connection from blocked IP address: "), F.col("source_ip")),
+        description=F.concat(F.lit("An address on the block list connected: "), F.col("source_ip")),
         metadata=payload(
             {
                 "source_ip": F.col("source_ip"),
@@ -204,7 +204,7 @@ def hash_alerts(logs: DataFrame, known: DataFrame) -> DataFrame:
         method=METHOD,
         alert_type=F.lit("malicious_hash_detected"),
         severity=F.col("severity"),
-        description=F.concat(F.lit("Malicious file hash detected: "), F.col("name")),
+        description=F.concat(F.lit("A file known to be harmful: "), F.col("name")),
         metadata=payload(
             {
                 "hash_value": F.col("value"),

@@ -48,7 +48,7 @@ def brute_force_attempt(min_failed: int = 5) -> Burst:
         measure="rows",
         threshold=min_failed,
         describe=F.concat(
-            F.lit("Possible brute force attack from "), F.col("k1"), F.lit(": "), _text("n"), F.lit(" failed login attempts")
+            F.lit("Password guessing by "), F.col("k1"), F.lit(": "), _text("n"), F.lit(" sign-ins refused")
         ),
         metadata={"failed_attempts": F.col("n")},
         entity={"source_ip": "k1"},
@@ -67,7 +67,7 @@ def port_scan_detected(min_destinations: int = 10) -> Burst:
         measure="distinct",
         threshold=min_destinations,
         describe=F.concat(
-            F.lit("Possible port scan from "), F.col("k1"), F.lit(": "), _text("distinct_n"), F.lit(" unique destinations")
+            F.lit("Many targets for "), F.col("k1"), F.lit(": "), _text("distinct_n"), F.lit(" different targets")
         ),
         metadata={"destination_count": F.col("distinct_n"), "destinations": F.col("vals")},
         entity={"source_ip": "k1"},
@@ -133,7 +133,7 @@ def suspicious_commands(logs: DataFrame, k: int = 10) -> DataFrame:
         method=METHOD,
         alert_type=F.lit("suspicious_commands"),
         severity=F.lit("high"),
-        description=F.concat(F.lit("Suspicious commands detected: "), _text("n"), F.lit(" instances")),
+        description=F.concat(F.lit("Commands that attackers use: "), _text("n"), F.lit(" instances")),
         metadata=payload({"commands": F.col("commands")}),
     )
 
@@ -175,17 +175,17 @@ def rate_anomalies(logs: DataFrame, base: DataFrame, thresholds: dict[str, float
         description=pick(
             {
                 "login_frequency": F.concat(
-                    F.lit("Unusual login frequency detected: "), value, F.lit(" logins (baseline: "), mean,
+                    F.lit("Sign-ins off their usual rate: "), value, F.lit(" logins (baseline: "), mean,
                     F.lit(" ± "), _one_decimal("std"), F.lit(")"),
                 ),
                 "failed_login_rate": F.concat(
-                    F.lit("Unusual failed login rate: "), value, F.lit(" failures (baseline: "), mean, F.lit(")")
+                    F.lit("Refused sign-ins off their usual rate: "), value, F.lit(" failures (baseline: "), mean, F.lit(")")
                 ),
                 "error_rate": F.concat(
-                    F.lit("Unusual error rate: "), value, F.lit(" errors (baseline: "), mean, F.lit(")")
+                    F.lit("Errors off their usual rate: "), value, F.lit(" errors (baseline: "), mean, F.lit(")")
                 ),
                 "command_execution_rate": F.concat(
-                    F.lit("Unusual command execution rate: "), value, F.lit(" commands (baseline: "), mean, F.lit(")")
+                    F.lit("Commands off their usual rate: "), value, F.lit(" commands (baseline: "), mean, F.lit(")")
                 ),
             }
         ),
@@ -239,8 +239,8 @@ def request_anomalies(
         severity=F.lit("medium"),
         description=F.when(
             has_base,
-            F.concat(F.lit("Unusual request rate from "), head, F.lit(" (baseline: "), _one_decimal("mean"), F.lit(")")),
-        ).otherwise(F.concat(F.lit("High request rate from "), head)),
+            F.concat(F.lit("Requests off their usual rate by "), head, F.lit(" (baseline: "), _one_decimal("mean"), F.lit(")")),
+        ).otherwise(F.concat(F.lit("Very many requests by "), head)),
         metadata=payload(
             {"request_count": F.col("value"), "baseline_mean": F.col("mean"), "z_score": F.col("z")}
         ),

@@ -36,7 +36,7 @@ def lateral_movement(min_hosts: int = 5, window_seconds: int = 900) -> Burst:
         window_seconds=window_seconds,
         list_limit=None,
         describe=F.concat(
-            F.lit("Lateral movement detected: accessed "),
+            F.lit("One user on many machines: "),
             F.col("distinct_n").cast("string"),
             F.lit(f" hosts in {window_seconds // 60} minutes"),
         ),
@@ -64,7 +64,7 @@ def data_exfiltration(min_bytes: int = 100_000_000, window_seconds: int = 300) -
         measure="amount",
         threshold=min_bytes,
         window_seconds=window_seconds,
-        describe=F.concat(F.lit("Large data transfer detected: "), F.format_number("amount", 0), F.lit(" bytes")),
+        describe=F.concat(F.lit("Much data left: "), F.format_number("amount", 0), F.lit(" bytes")),
         metadata={
             "rule_id": F.lit("HEUR-004"),
             "rule_name": F.lit("Data Exfiltration Indicator"),
@@ -88,7 +88,7 @@ def rapid_file_access(min_access: int = 20, window_seconds: int = 300) -> Burst:
         threshold=min_access,
         window_seconds=window_seconds,
         describe=F.concat(
-            F.lit("Rapid file access detected: "),
+            F.lit("Files opened in quick succession: "),
             F.col("n").cast("string"),
             F.lit(f" accesses in {window_seconds // 60} minutes"),
         ),
@@ -116,7 +116,7 @@ def suspicious_command_sequence(min_commands: int = 2, window_seconds: int = 120
         threshold=min_commands,
         window_seconds=window_seconds,
         list_limit=None,
-        describe=F.concat(F.lit("Suspicious command sequence detected: "), F.array_join("vals", ", ")),
+        describe=F.concat(F.lit("Commands of an attack in one session: "), F.array_join("vals", ", ")),
         metadata={
             "rule_id": F.lit("HEUR-007"),
             "rule_name": F.lit("Suspicious Command Sequence"),
@@ -142,7 +142,7 @@ def off_hours_activity(logs: DataFrame, start: int = 22, end: int = 6) -> DataFr
         alert_type=F.lit("off_hours_activity"),
         severity=F.lit("medium"),
         description=F.concat(
-            F.lit("Activity detected during off-hours ("), F.lpad(hour.cast("string"), 2, "0"), F.lit(":00)")
+            F.lit("Work outside office hours ("), F.lpad(hour.cast("string"), 2, "0"), F.lit(":00)")
         ),
         metadata=payload(
             {

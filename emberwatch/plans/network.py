@@ -35,7 +35,7 @@ def port_scan(min_ports: int = 20, window_seconds: int = 60) -> Burst:
         threshold=min_ports,
         window_seconds=window_seconds,
         describe=F.concat(
-            F.lit("Port scanning detected: "), _text("distinct_n"), F.lit(" unique ports scanned from "), F.col("k1")
+            F.lit("Many ports tried: "), _text("distinct_n"), F.lit(" different ports, all from "), F.col("k1")
         ),
         metadata={
             "source_ip": F.col("k1"),
@@ -60,7 +60,7 @@ def ddos_attack(min_connections: int = 1000, window_seconds: int = 60) -> Burst:
         threshold=min_connections,
         window_seconds=window_seconds,
         describe=F.concat(
-            F.lit("DDoS attack detected: "),
+            F.lit("Flood of connections: "),
             _text("n"),
             F.lit(" connections to "),
             F.col("k1"),
@@ -90,7 +90,7 @@ def dns_tunneling(min_queries: int = 100, window_seconds: int = 60) -> Burst:
         measure="rows",
         threshold=min_queries,
         window_seconds=window_seconds,
-        describe=F.concat(F.lit("DNS tunneling suspected: "), _text("n"), F.lit(" DNS queries from "), F.col("k1")),
+        describe=F.concat(F.lit("Names looked up too often: "), _text("n"), F.lit(" lookups by "), F.col("k1")),
         metadata={
             "source_ip": F.col("k1"),
             "dns_query_count": F.col("n"),
@@ -114,7 +114,7 @@ def bandwidth_anomaly(min_bytes: int = 100 * 1024 * 1024, window_seconds: int =
         threshold=min_bytes,
         window_seconds=window_seconds,
         describe=F.concat(
-            F.lit("High bandwidth usage detected: "),
+            F.lit("Heavy traffic: "),
             F.format_number("amount", 0),
             F.lit(" bytes from "),
             F.col("k1"),
@@ -152,7 +152,7 @@ def beaconing(
         alert_type=F.lit("beaconing"),
         severity=F.lit("critical"),
         description=F.concat(
-            F.lit("C2 beaconing detected: regular connections from "), F.col("src"), F.lit(" to "), F.col("dst")
+            F.lit("Calls home at even intervals from "), F.col("src"), F.lit(" to "), F.col("dst")
         ),
         metadata=payload(
             {
@@ -180,7 +180,7 @@ def protocol_anomaly(logs: DataFrame) -> DataFrame:
         alert_type=F.lit("protocol_anomaly"),
         severity=F.lit("medium"),
         description=F.concat(
-            F.lit("Unusual protocol/port combination: "), protocol, F.lit(" on port "), port.cast("string")
+            F.lit("Protocol on a foreign port: "), protocol, F.lit(" on port "), port.cast("string")
         ),
         metadata=payload(
             {

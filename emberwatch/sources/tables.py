@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from datetime import datetime
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, StructField, StructType
 
 from emberwatch.functions import predicates as P
 from emberwatch.functions.fields import json_map
 from emberwatch.schema import ALERT_SCHEMA, LOG_SCHEMA, THREAT_INTEL_SCHEMA
 
-_local_folders: dict[str, str] = {}
 # The columns that logs can be filtered by.
 FILTER_COLUMNS = ("appname", "host", "hostname", "source_type", "file")
 
@@ -27,16 +27,9 @@ def timestamp(t: datetime | str | Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see, from ``spark.checkpoint.dir``; a local session may go without."""
+    """The folder all executors see: ``spark.checkpoint.dir``, or one in the session's warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        app = spark.sparkContext.applicationId
-        if app not in _local_folders:
-            _local_folders[app] = tempfile.mkdtemp(prefix="emberwatch-")
-        return _local_folders[app]
-    raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
+    return (folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch").rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -203,15 +196,41 @@ def _stored_form(alerts: DataFrame) -> DataFrame:
     )
 
 
-def append_alerts(alerts: DataFrame, path: str) -> DataFrame:
-    """Append; returns a one-row frame with the number of alerts given."""
-    _stored_form(alerts).write.mode("append").partitionBy("created_date").parquet(path)
-    return alerts.agg(F.count(F.lit(1)).alias("n"))
+def append_alerts(alerts: DataFrame, path: str) -> int:
+    """Append the alerts that aren't stored yet and return how many were; a retry appends nothing.
 
-
-def replace_batch(alerts: DataFrame, path: str, batch_id: int) -> None:
-    """Write the alerts of one micro-batch into their own folder, so that a retry replaces them."""
-    _stored_form(alerts).write.mode("overwrite").partitionBy("created_date").parquet(f"{path}/batch_id={batch_id}")
+    The detectors run once: their alerts are written first, then compared with the ids stored for the same dates.
+    """
+    spark = alerts.sparkSession
+    given = materialise(_stored_form(alerts).dropDuplicates(["id"]), "alerts")
+    fresh, count = given, Observation()
+    try:
+        stored = spark.read.schema(StructType([*ALERT_SCHEMA.fields, StructField("created_date", DateType())])).parquet(path)
+    except AnalysisException:  # nothing is stored yet
+        stored = None
+    if stored is not None:
+        dates = given.select("created_date").distinct()
+        stored = stored.join(dates, "created_date", "left_semi").select("id")
+        fresh = given.join(stored, "id", "left_anti")
+    fresh = fresh.observe(count, F.count(F.lit(1)).alias("n"))
+    fresh.write.mode("append").partitionBy("created_date").parquet(path)
+    return count.get["n"]
+
+
+def replace_cycles(alerts: DataFrame, cycles: list[datetime], path: str) -> None:
+    """Replace the alerts of these cycles, also by none: a row without id stands for each cycle."""
+    spark = alerts.sparkSession
+    marks = spark.createDataFrame([(c,) for c in cycles], "created_at timestamp")
+    key = F.unix_timestamp("created_at").alias("cycle_end")
+    rows = _stored_form(alerts).drop("created_date").unionByName(marks, allowMissingColumns=True)
+    rows = rows.select("*", key).repartition("cycle_end")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cycle_end").parquet(path)
+
+
+def read_cycle_alerts(spark: SparkSession, path: str) -> DataFrame:
+    """The alerts of all streams that wrote here; an alert that several found occurs once."""
+    rows = spark.read.schema(ALERT_SCHEMA).option("recursiveFileLookup", True).parquet(path)
+    return rows.where("id IS NOT NULL").dropDuplicates(["id"])
 
 
 # --- threat indicators ---------------------------------------------------------------------
@@ -229,10 +248,11 @@ def scan_threat_intel(
 
 
 def new_indicators(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Incoming indicators whose (type, value) is not stored yet, one of each."""
+    """Incoming indicators whose (type, value) is not stored yet: of several the most confident, then the newest."""
     key = [F.col("indicator_type").alias("k_type"), F.lower(F.trim("indicator_value")).alias("k_value")]
-    fresh = incoming.select("*", *key).dropDuplicates(["k_type", "k_value"])
-    return fresh.join(existing.select(*key), ["k_type", "k_value"], "left_anti").drop("k_type", "k_value")
+    rank = Window.partitionBy("k_type", "k_value").orderBy(F.desc("confidence"), F.desc("created_at"), "id")
+    fresh = incoming.select("*", *key).withColumn("place", F.row_number().over(rank)).where("place = 1")
+    return fresh.join(existing.select(*key), ["k_type", "k_value"], "left_anti").drop("k_type", "k_value", "place")
 
 
 def upsert_threat_intel(incoming: DataFrame, path: str) -> None:

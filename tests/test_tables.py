@@ -1,6 +1,7 @@
 import csv
 import glob
 import json
+from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from conftest import AS_OF, T0, log
 from emberwatch.functions import fields as X
 from emberwatch.operators.signatures import blocked_ip_alerts
 from emberwatch.plans import heuristic, reports
-from emberwatch.schema import LOG_SCHEMA, THREAT_INTEL_SCHEMA
+from emberwatch.schema import ALERT_SCHEMA, LOG_SCHEMA, THREAT_INTEL_SCHEMA
 from emberwatch.sources import catalogs
 from emberwatch.sources import tables as T
 from emberwatch.streaming import cycles as C
@@ -80,8 +81,6 @@ def test_catalog_files(spark, tmp_path):
 
 
 def test_empty_hours_in_trend(spark):
-    from emberwatch.schema import ALERT_SCHEMA
-
     row = ("1", None, "t", "anomaly_detection", "low", None, None, T0, False, 0.0, None, None, None, None)
     trend = reports.hourly_trend(spark.createDataFrame([row], ALERT_SCHEMA), "2024-03-04 12:30:00", 24).collect()
     assert len(trend) == 25 and sum(r["n"] for r in trend) == 1
@@ -103,10 +102,58 @@ def test_stream_isolates_failures_and_retries_replace(spark, tmp_path):
             metrics_path=f"{tmp_path}/metrics", isolate=True, callbacks=(lambda df, i: seen.append((i, df.count())),),
         )
         assert C.run_for(query, 120)
-    alerts = T.read_alerts(spark, f"{tmp_path}/alerts")
+    alerts = T.read_cycle_alerts(spark, f"{tmp_path}/alerts")
     assert [r["source_ip"] for r in alerts.collect()] == ["1"] and seen == [(0, 3), (0, 3)]
-    metrics = spark.read.parquet(f"{tmp_path}/metrics").first()
-    assert (metrics["logs"], metrics["alerts"]) == (3, 1)
+    metrics = spark.read.parquet(f"{tmp_path}/metrics").collect()
+    assert len(metrics) == 2  # each stream has folders of its own
+    assert all((m["logs"], m["alerts"]) == (3, 1) and "broken" in json.loads(m["errors"]) for m in metrics)
+
+
+def burst(i, seconds):
+    return log(str(i), seconds, "Failed password for root", {"source_ip": "9.9.9.9", "user": "root"})
+
+
+def test_stream_cycles_may_be_split_and_quiet(spark, tmp_path):
+    """Six failures of one minute in three files: one alert, as in one batch; a quiet batch writes metrics too."""
+    from emberwatch.operators.bursts import burst_alerts
+    from emberwatch.plans import anomaly
+
+    specs = [b for b in anomaly.bursts() if "brute" in b.alert_type]
+    for n, rows in enumerate(([0, 1], [2, 3], [4, 5])):
+        frame(spark, [burst(i, i) for i in rows]).coalesce(1).write.parquet(f"{tmp_path}/in/part={n}")
+    frame(spark, [log("q", 7200, "all is well")]).coalesce(1).write.parquet(f"{tmp_path}/in/part=3")
+    query = C.run_cycles(
+        C.read_stream(spark, f"{tmp_path}/in/*", LOG_SCHEMA, max_files=1), lambda _: {"b": lambda d: burst_alerts(d, specs)},
+        f"{tmp_path}/alerts", f"{tmp_path}/check", metrics_path=f"{tmp_path}/metrics", cycle_seconds=60,
+    )
+    assert C.run_for(query, 180)
+    assert T.read_cycle_alerts(spark, f"{tmp_path}/alerts").count() == 1
+    metrics = sorted(spark.read.parquet(f"{tmp_path}/metrics").collect(), key=lambda r: r["cycle"])
+    assert [m["logs"] for m in metrics] == [2, 2, 2, 1] and metrics[-1]["alerts"] == 0
+
+
+def test_append_is_idempotent(spark, tmp_path):
+    row = lambda i: (str(i), None, "t", "anomaly_detection", "low", None, None, T0, False, 0.0, None, None, None, None)
+    some = lambda *ids: spark.createDataFrame([row(i) for i in ids], ALERT_SCHEMA)
+    assert T.append_alerts(some(1, 2), f"{tmp_path}/a") == 2
+    assert T.append_alerts(some(1, 2), f"{tmp_path}/a") == 0
+    assert T.append_alerts(some(2, 3, 3), f"{tmp_path}/a") == 1
+    assert sorted(r["id"] for r in T.read_alerts(spark, f"{tmp_path}/a").collect()) == ["1", "2", "3"]
+
+
+@pytest.mark.parametrize("files", [1, 4])
+def test_stream_deduplication_by_gaps(spark, tmp_path, files):
+    """Alerts of a key at most 100 s after the last one that was let through are repeats, however they arrive."""
+    times = [0, 50, 100, 101, 150, 201, 202, 500]
+    row = lambda t, p, i: (i, None, "t", "m", "low", None, None, T0 + timedelta(seconds=t), False, p, None, None, None, None)
+    rows = [row(t, 1.0, f"a{t}") for t in times] + [row(0, 2.0, "best")]
+    rows.sort(key=lambda r: r[7])
+    for n in range(files):
+        part = rows[n * len(rows) // files : (n + 1) * len(rows) // files] if files > 1 else rows
+        spark.createDataFrame(part, ALERT_SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in/part={n}")
+    arriving = C.read_stream(spark, f"{tmp_path}/in/*", ALERT_SCHEMA, max_files=1)
+    C.write_files(C.first_of_each(arriving, "100 seconds"), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    assert sorted(r["id"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["a101", "a202", "a500", "best"]
 
 
 def test_shared_folder_is_the_sessions(spark):
