@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberwatch.checks import detector_sql as D
@@ -329,7 +329,7 @@ def indicators_new(spark, sf):
     all_ = intel(spark, sf)
     fresh = T.new_indicators(all_.filter("expires_at IS NOT NULL"), all_.filter("expires_at IS NULL"))
     value = F.lower(F.trim("indicator_value")).alias("value")
-    return fresh.select("id", "indicator_type", value, "threat_type", "confidence", "source")
+    return fresh.select("id", "indicator_type", value, "threat_type", F.col("confidence").cast("double").alias("confidence"), "source")
 
 
 @register("signature_text_alerts", V.text_sql(alert_rows(D.signatures(DEFAULT_SIGNATURES))))
@@ -785,10 +785,11 @@ def top_hosts(spark, sf):
 
 @register(
     "top_hosts_recent",
-    V.sql(_top_sql("(SELECT * FROM x ORDER BY ingestion_time DESC, id LIMIT 1000)", "host", 5)),
+    V.sql(_top_sql(f"(SELECT * FROM x WHERE ingestion_time >= TIMESTAMP '{AS_OF}' - INTERVAL 24 HOURS)", "host", 5)),
 )
 def top_hosts_recent(spark, sf):
-    return reports.top_counts(V.logs(spark, sf), "host", 5, recent_n=1000, time="ingestion_time")
+    since = F.lit(AS_OF).cast("timestamp") - F.expr("INTERVAL 24 HOURS")
+    return reports.top_counts(T.scan_logs(V.logs(spark, sf), start=since), "host", 5)
 
 
 @register("top_source_ips", V.sql(_top_sql("x", "source_ip", 5)))
@@ -843,7 +844,7 @@ def anomaly_trend(spark, sf):
 @register(
     "alerts_with_log",
     _cycle_sql("""SELECT a.id, a.alert_type, l."timestamp" AS log_timestamp, l.message AS log_message, l.host AS log_host,
-  l.appname AS log_appname, substr(l.raw, 1, 500) AS log_raw FROM alerts a LEFT JOIN x l ON l.id = a.log_id"""),
+  l.appname AS log_appname, l.raw AS log_raw FROM alerts a LEFT JOIN x l ON l.id = a.log_id"""),
 )
 def alerts_with_log(spark, sf):
     rows = reports.with_log(alerts(spark, sf), V.logs(spark, sf))
@@ -877,7 +878,7 @@ WHERE a.id = (SELECT min(id) FROM alerts)"""),
 def alert_details(spark, sf):
     found = alerts(spark, sf)
     wanted = found.join(found.agg(F.min("id").alias("id")), "id", "left_semi")
-    return reports.with_log(wanted, V.logs(spark, sf), raw_length=None).select("id", "severity", "log_message")
+    return reports.with_log(wanted, V.logs(spark, sf)).select("id", "severity", "log_message")
 
 
 @register(
@@ -890,6 +891,27 @@ def cycle_metrics(spark, sf):
     return rows.withColumn("cycle", V.stamp("cycle"))
 
 
+@register(
+    "cycle_totals",
+    _cycle_sql("""SELECT count(*) AS cycles, sum(logs) AS total_logs, sum(alerts) AS total_alerts, avg(logs) AS mean_logs, avg(alerts) AS mean_alerts
+FROM (SELECT cycle, logs, coalesce(n, 0) AS alerts FROM (SELECT cycle, count(*) AS logs FROM x GROUP BY 1)
+LEFT JOIN (SELECT created_at, count(*) AS n FROM alerts GROUP BY 1) ON created_at = cycle)"""),
+)
+def cycle_totals(spark, sf):
+    return reports.cycle_totals(reports.cycle_metrics(alerts(spark, sf), V.logs(spark, sf)))
+
+
+@register(
+    "alerts_by_priority",
+    _cycle_sql("SELECT id, priority_score, created, row_number() OVER (ORDER BY priority_score DESC, created_at, id) AS place FROM alerts QUALIFY place <= 500"),
+)
+def alerts_by_priority(spark, sf):
+    """The first page of 500 in the order in which alerts are shown."""
+    page = detect.by_priority(alerts(spark, sf)).limit(500)
+    order = Window.orderBy(F.desc("priority_score"), "created_at", "id")  # over the page only
+    return page.select("id", "priority_score", V.stamp("created_at").alias("created"), F.row_number().over(order).alias("place"))
+
+
 # --- streams: the events table read as a stream until its end -------------------------------
 
 

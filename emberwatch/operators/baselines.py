@@ -94,12 +94,9 @@ def baselines(logs: DataFrame, as_of: datetime | str, days: int = 7, min_values:
     return summarise(metric_values(recent), as_of, min_values)
 
 
-def initial_baselines(logs: DataFrame, as_of: datetime | str, enough: int = 100) -> DataFrame | None:
-    """First baselines of a new installation: a week of history, or one day where logs are scarce."""
-    some = logs.limit(enough + 1).count()
-    if some == 0:
-        return None
-    return baselines(logs, as_of, days=7 if some > enough else 1)
+def initial_baselines(logs: DataFrame, as_of: datetime | str, days: int = 7) -> DataFrame:
+    """First baselines of a new installation: those of the last ``days`` days, however few logs there are."""
+    return baselines(logs, as_of, days=days)
 
 
 def with_baseline(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from emberwatch.functions import fields as X
 from emberwatch.functions.scores import percent
 from emberwatch.operators.alerts import meta
-from emberwatch.sources.tables import newest, timestamp
+from emberwatch.sources.tables import timestamp
 
 ANOMALY = "anomaly_detection"
 SEVERITIES = ("critical", "high", "medium", "low")
@@ -25,10 +25,9 @@ def group_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(X.or_unknown(F.col(column)).alias(column)).agg(F.count(F.lit(1)).alias("n"))
 
 
-def top_counts(df: DataFrame, column: str, k: int, recent_n: int | None = None, time: str = "created_at") -> DataFrame:
-    """The ``k`` most frequent values, ties by name; ``recent_n`` counts the newest rows only."""
-    rows = newest(df, recent_n, time=time) if recent_n else df
-    return group_counts(rows, column).orderBy(F.desc("n"), column).limit(k)
+def top_counts(df: DataFrame, column: str, k: int) -> DataFrame:
+    """The ``k`` most frequent values, ties by name; for recent ones, filter by a time range first."""
+    return group_counts(df, column).orderBy(F.desc("n"), column).limit(k)
 
 
 def source_shares(df: DataFrame, column: str) -> DataFrame:
@@ -157,25 +156,27 @@ def causation() -> Column:
     )
 
 
-def with_log(alerts: DataFrame, logs: DataFrame, raw_length: int | None = 500) -> DataFrame:
-    """Every alert with its source log, if it names one, and its causation.
+def with_log(alerts: DataFrame, logs: DataFrame) -> DataFrame:
+    """Every alert with its whole source log, if it names one, and its causation.
 
-    Logs are cut down to the referenced ids by the join itself; Spark picks the strategy by size.
+    Logs are cut down to the referenced ids by the join itself; Spark picks the strategy by size. Alerts that name
+    no log stay out of the join, so they don't meet in one task.
     """
-    raw = F.substring("raw", 1, raw_length) if raw_length else F.col("raw")
     side = logs.select(
         F.col("id").alias("log_id"),
         F.col("timestamp").alias("log_timestamp"),
         F.col("message").alias("log_message"),
         F.col("host").alias("log_host"),
         F.col("appname").alias("log_appname"),
-        raw.alias("log_raw"),
+        F.col("raw").alias("log_raw"),
     )
-    return alerts.join(side, "log_id", "left").withColumn("causation", causation())
+    joined = alerts.filter("log_id IS NOT NULL").join(side, "log_id", "left")
+    alone = alerts.filter("log_id IS NULL")
+    return joined.unionByName(alone, allowMissingColumns=True).withColumn("causation", causation())
 
 
 def alert_detail(alerts: DataFrame, logs: DataFrame, alert_id: str) -> DataFrame:
-    return with_log(alerts.filter(F.col("id") == alert_id), logs, raw_length=None)
+    return with_log(alerts.filter(F.col("id") == alert_id), logs)
 
 
 def log_view(prepared: DataFrame) -> DataFrame:
