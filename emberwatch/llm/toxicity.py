@@ -226,14 +226,16 @@ def train(texts: list[str], labels: list[int], seed: int = 7, epochs: int = EPOC
     known: dict[bytes, int] = {b"": 0}
     tokens = [np.array([known.setdefault(w, len(known)) for w in _words(t)], np.int32) for t in texts]
     vocabulary = list(known)
-    hashes, n = _grams(vocabulary)
+    portions = [_grams(vocabulary[i : i + 20_000]) for i in range(0, len(vocabulary), 20_000)]
+    hashes, n = (np.concatenate(c) for c in zip(*portions, strict=True))
+    del portions
     firsts = np.cumsum(n) - n
     part = np.where(draw.random(len(y)) < 0.2, 1, 0) if len(y) >= 50 else np.zeros(len(y), int)
     fit, check = np.flatnonzero(part == 0), np.flatnonzero(part == 1)
     if not len(check) or y[fit].min() == y[fit].max() or y[check].min() == y[check].max():
         fit = check = np.arange(len(y))
     # In how many fitted texts of either class is each word, each n-gram?
-    in_words, in_grams = np.zeros((2, len(vocabulary)), np.int64), np.zeros((2, GRAM_HASHES), np.int64)
+    in_words, in_grams = np.zeros((2, len(vocabulary)), np.int32), np.zeros((2, GRAM_HASHES), np.int32)
     for i in fit:
         distinct = np.unique(tokens[i])
         in_words[int(y[i]), distinct] += 1
@@ -249,8 +251,9 @@ def train(texts: list[str], labels: list[int], seed: int = 7, epochs: int = EPOC
     for table, seen in ((net.word, in_words[:, common]), (net.gram, in_grams[:, some])):
         rate = (seen + 5 * size / size.sum()) / size
         table[1:, 0] = 0.5 * np.log(rate[1] / rate[0])
-    own, grams = np.zeros(len(vocabulary), np.int64), gram_rows[hashes]
+    own, grams = np.zeros(len(vocabulary), np.int32), gram_rows[hashes]
     own[common] = np.arange(1, len(common) + 1)
+    del known, vocabulary, hashes, in_words, in_grams
     share = (1 / np.sqrt(np.maximum(n, 1)))[:, None]
     starts = [cut(len(t)) for t in tokens]
     odds = net.word[own, 0] + (_sums(net.gram[:, :1][grams], n) * share)[:, 0]
