@@ -22,7 +22,7 @@ MOST_EPOCHS = 3
 #: Hex digits of the shuffle key that make up a bucket of a source; each bucket is sorted by itself.
 BUCKET_DIGITS = 2
 #: Coarse stretches of the schedule in which slots are ranked.
-STRETCHES = 4096
+STRETCHES = 512
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
