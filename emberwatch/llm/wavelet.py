@@ -36,6 +36,7 @@ KEPT_PIECES = 1_500_000
 
 _UNSAFE = re.compile(r" (?=\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
+_MARKED = re.compile(r"([^\W\d_]+)([^\w\s]+)")
 _SPACE = re.compile(r"[\s\x85]")
 
 
@@ -53,6 +54,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(model)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.line_feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        self.marks: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
 
@@ -80,6 +82,9 @@ class Encoder:
         before a single space is a token of its own.
         """
         new = list(pieces.difference(known))
+        # Letters and what follows them are encoded apart: "word," needs no more than "word".
+        parted = {p: m for p in new if (m := _MARKED.fullmatch(p)) and m[1].isalpha()}
+        new = [*{m[1] for m in parted.values()}.difference(known, new), *(p for p in new if p not in parted)]
         plain = [p for p in new if p and not _SPACE.search(p)]
         lines = [plain[i : i + 500] for i in range(0, len(plain), 500)]
         joined = ["\n".join(space + p for p in line) for line in lines]
@@ -92,8 +97,17 @@ class Encoder:
                 at = end + 2
         for piece in new:
             if not piece or _SPACE.search(piece):
-                known[piece] = np.array(self.tokenizer.encode(space + piece, add_special_tokens=False).ids, "<u2").tobytes()
-        return new
+                known[piece] = self._one(space + piece)
+        for piece, m in parted.items():
+            if m[2] not in self.marks:
+                self.marks[m[2]] = self._one(m[2])
+            known[piece] = known[m[1]] + self.marks[m[2]]
+        if len(self.marks) > KEPT_PIECES:
+            self.marks = {}
+        return new + list(parted)
+
+    def _one(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
 
 _encoders: dict[str, Encoder] = {}
