@@ -12,6 +12,7 @@ from emberwatch.checks import views as V
 from emberwatch.functions import fields as X
 from emberwatch.functions import predicates as P
 from emberwatch.operators import baselines as B
+from emberwatch.operators import bursts as BU
 from emberwatch.operators import profiles as PR
 from emberwatch.operators import sequences as SQ
 from emberwatch.operators.alerts import meta
@@ -443,7 +444,7 @@ def suspicious_commands(spark, sf):
 @register(
     "suspicious_command_samples",
     V.sql(f"""SELECT {V.sql_stamp('cycle')} AS created, count(*) AS n,
-  array_to_string(list_slice(list(substr(message, 1, 100) ORDER BY ets, id), 1, 10), ';') AS commands
+  array_to_string(list_slice(list(message ORDER BY ets, id), 1, 10), ';') AS commands
 FROM x WHERE {D.COMMAND} AND {D.SUSPICIOUS} GROUP BY cycle"""),
 )
 def suspicious_command_samples(spark, sf):
@@ -451,6 +452,14 @@ def suspicious_command_samples(spark, sf):
     return rows.select(V.stamp("cycle").alias("created"), "n", F.array_join("commands", ";").alias("commands"))
 
 
+@register(
+    "suspicious_command_lines",
+    V.sql(f"SELECT {V.sql_stamp('cycle')} AS created, id, message AS line FROM x WHERE {D.COMMAND} AND {D.SUSPICIOUS}"),
+)
+def suspicious_command_lines(spark, sf):
+    return anomaly.suspicious_command_lines(V.logs(spark, sf)).select(V.stamp("cycle").alias("created"), "id", "line")
+
+
 @register(
     "top_failed_ips",
     V.sql(f"""SELECT {V.sql_stamp('cycle')} AS created, source_ip, n FROM (SELECT cycle, source_ip, count(*) AS n,
@@ -505,6 +514,18 @@ def burst_lists(spark, sf):
     )
 
 
+@register(
+    "burst_members",
+    V.sql(f"""SELECT {V.sql_stamp('cycle')} AS created, k1 AS source_ip, value AS port, n FROM (
+  SELECT *, count(*) OVER (PARTITION BY cycle, k1) AS ports FROM (
+    SELECT cycle, k1, CAST(value AS VARCHAR) AS value, count(*) AS n, FROM (SELECT cycle, {D.IP} AS k1, {D.PORT} AS value FROM x WHERE {D.NETWORK})
+    WHERE k1 IS NOT NULL AND value IS NOT NULL GROUP BY 1, 2, 3)) WHERE ports >= 3"""),
+)
+def burst_members(spark, sf):
+    members = BU.burst_members(V.logs(spark, sf), [network.port_scan(3, DAY)])
+    return members.select(V.stamp("cycle").alias("created"), F.col("k1").alias("source_ip"), F.col("value").alias("port"), "n")
+
+
 @register("brute_force_success", V.sql(alert_rows(D.brute_force_success(2, 2 * DAY)), None))
 def brute_force_success(spark, sf):
     return shown(SQ.brute_force_success(V.logs(spark, sf, None), 2, 2 * DAY, slice_seconds=3 * DAY))

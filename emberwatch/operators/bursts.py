@@ -12,7 +12,7 @@ numbered inside a hash slice of their key, so a key with very many values is spr
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -86,7 +86,7 @@ def tally(logs: DataFrame, bursts: list[Burst]) -> DataFrame:
     entry = F.struct(F.col("value").try_cast("bigint").alias("num"), F.col("value").alias("value"))
     in_slice = Window.partitionBy(*group, "slice").orderBy(entry["num"], entry["value"])
     listing = [b for b in bursts if b.value is not None]
-    whole = [b.alert_type for b in listing if b.list_limit is None]
+    whole = [b.alert_type for b in listing if b.list_limit is None]  # 0 lists nothing
     limits = [(F.col("kind") == b.alert_type) & (F.col("place") <= b.list_limit) for b in listing if b.list_limit]
     listed = reduce(lambda a, b: a | b, limits, F.col("kind").isin(*whole) if whole else F.lit(False))
     per_slice = (
@@ -119,6 +119,18 @@ def _reached(b: Burst) -> Column:
     return ok
 
 
+def burst_members(logs: DataFrame, bursts: list[Burst]) -> DataFrame:
+    """Everything that the groups of the alerts hold, in long form: cycle, kind, k1, k2, value and its count.
+
+    An alert lists the first values next to the exact number; here no list has an end and no row grows with its group.
+    """
+    group = ["cycle", "kind", "k1", "k2"]
+    listing = [b for b in bursts if b.value is not None]
+    reached = tally(logs, [replace(b, list_limit=0) for b in listing]).filter(reduce(lambda a, b: a | b, [_reached(b) for b in listing]))
+    values = _tallies(logs, listing).filter("value IS NOT NULL").groupBy(*group, "value").agg(F.count(F.lit(1)).alias("n"))
+    return values.join(reached.select(*group), group, "left_semi")
+
+
 def burst_alerts(logs: DataFrame, bursts: list[Burst]) -> DataFrame:
     """Alert rows for every spec, from one pass over the prepared logs."""
 

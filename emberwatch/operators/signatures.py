@@ -143,7 +143,7 @@ def signature_alerts(logs: DataFrame, signatures: list[Signature]) -> DataFrame:
                 "category": F.col("category"),
                 "host": F.col("host"),
                 "appname": F.col("appname"),
-                "message": F.substring("message", 1, 200),
+                "message": F.col("message"),
                 "source_ip": F.col("source_ip"),
                 "user": F.col("user"),
             }
@@ -170,7 +170,7 @@ def blocked_ip_alerts(logs: DataFrame, blocked: DataFrame) -> DataFrame:
                 "source_ip": F.col("source_ip"),
                 "host": F.col("host"),
                 "appname": F.col("appname"),
-                "message": F.substring("message", 1, 200),
+                "message": F.col("message"),
             }
         ),
         log_id=F.col("id"),

@@ -112,11 +112,14 @@ def top_failed_ips(logs: DataFrame, k: int = 5) -> DataFrame:
     )
 
 
-def suspicious_command_samples(logs: DataFrame, k: int = 10, width: int = 100) -> DataFrame:
-    """Per cycle: how many suspicious command lines there are, and the first ``k`` of them."""
-    hits = logs.filter("is_suspicious").select(
-        "cycle", "ets", "id", F.substring("message", 1, width).alias("line")
-    )
+def suspicious_command_lines(logs: DataFrame) -> DataFrame:
+    """All suspicious command lines, a row each: the whole evidence behind the samples."""
+    return logs.filter("is_suspicious").select("cycle", "ets", "id", F.col("message").alias("line"))
+
+
+def suspicious_command_samples(logs: DataFrame, k: int = 10) -> DataFrame:
+    """Per cycle: how many suspicious command lines there are, and the first ``k`` of them, each whole."""
+    hits = suspicious_command_lines(logs)
     order = Window.partitionBy("cycle").orderBy("ets", "id")
     first = (
         hits.withColumn("place", F.row_number().over(order))
