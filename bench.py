@@ -1,7 +1,8 @@
 """Time the headline queries at ``$BENCH_SF_DIR`` on ``local[$BENCH_CPUS]``; prints one JSON line.
 
-``prepare`` is the one-time parse of the log table, which the other queries then read. ``cycle`` is
-every detector over all logs, scored and de-duplicated; the planned bar for it is 100,000 logs in 60 s.
+``prepare_logs`` and ``prepare_texts`` are the one-time parses of the log table and of the texts, which the other
+queries then read. ``cycle`` is every detector over all logs, scored and de-duplicated; the planned bar for it,
+parse of the logs included, is 100,000 logs in 60 s.
 """
 
 from __future__ import annotations
@@ -52,7 +53,8 @@ def main() -> None:
     def drain(df) -> None:
         df.write.format("noop").mode("overwrite").save()
 
-    timed("prepare", lambda: (views.logs(spark, sf_dir), views.texts(spark, sf_dir)))
+    timed("prepare_logs", lambda: views.logs(spark, sf_dir))
+    timed("prepare_texts", lambda: views.texts(spark, sf_dir))
     timed("cycle", lambda: registry.alerts(spark, sf_dir))
     for name in HEADLINE:
         timed(name, lambda: drain(registry.QUERIES[name](spark, sf_dir)))
@@ -68,6 +70,7 @@ def main() -> None:
                 "sf": float(scale.group(1)) if scale else None,
                 "logs": logs,
                 "cycle_logs_per_sec": round(logs / seconds["cycle"], 1),
+                "parse_and_cycle": round(seconds["prepare_logs"] + seconds["cycle"], 3),
             }
         )
     )

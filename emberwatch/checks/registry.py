@@ -19,7 +19,7 @@ from emberwatch.operators.alerts import meta
 from emberwatch.operators.bursts import Burst, burst_alerts
 from emberwatch.operators.intel import active_indicators, log_indicators, threat_intel_alerts
 from emberwatch.operators.rules import Rule, rule_alerts
-from emberwatch.operators.signatures import blocked_ip_alerts, hash_alerts, signature_alerts
+from emberwatch.operators.signatures import blocked_ip_alerts, catalog_frame, filter_catalog, hash_alerts, signature_alerts
 from emberwatch.plans import anomaly, detect, heuristic, network, reports
 from emberwatch.sources import event_log as E
 from emberwatch.sources import tables as T
@@ -352,6 +352,21 @@ def signature_category_counts(spark, sf):
     return hits.groupBy(F.col("alert_type").alias("category"), "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
+_WANTED = [s for s in DEFAULT_SIGNATURES if "injection" in f"{s.name} {s.description} {s.id}".lower() and s.severity == "critical"]
+
+
+@register(
+    "catalog_search",
+    V.text_sql(f"""SELECT k.id, k.name, k.category, count(a.rule) AS n FROM (VALUES {", ".join(f"('{s.id}', '{s.name}', '{s.category}')" for s in _WANTED)})
+  k(id, name, category) LEFT JOIN ({D.signatures(DEFAULT_SIGNATURES)}) a ON a.rule = k.id GROUP BY 1, 2, 3"""),
+)
+def catalog_search(spark, sf):
+    """Critical signatures about injection, and how often each fires on the texts."""
+    wanted = filter_catalog(catalog_frame(spark, DEFAULT_SIGNATURES), search="Injection", severity="critical")
+    hits = signature_alerts(V.texts(spark, sf), DEFAULT_SIGNATURES).groupBy(meta("signature_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    return wanted.join(hits, "id", "left").select("id", "name", "category", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 # --- baselines and anomalies ---------------------------------------------------------------
 
 _BASE_CTE = f"b AS MATERIALIZED ({D.baselines_sql(D.metric_values_sql())})"
@@ -376,6 +391,18 @@ def baseline_table(spark, sf):
     return rows.select("metric", "count", *[F.round(c, 6).alias(c) for c in _BASE_COLUMNS])
 
 
+@register(
+    "refreshed_baselines",
+    V.sql(f"SELECT metric, count, {', '.join(f'round({c}, 6) AS {c}' for c in _BASE_COLUMNS)} FROM b", extra=_BASE_CTE),
+)
+def refreshed_baselines(spark, sf):
+    """Stored from half of the period, then refreshed from all of it."""
+    path = T.new_folder(spark, "baselines")
+    detect.refresh_baselines(V.logs(spark, sf), path, MIDDLE, days=31)
+    rows = detect.refresh_baselines(V.logs(spark, sf), path, AS_OF, days=31)
+    return rows.select("metric", "count", *[F.round(c, 6).alias(c) for c in _BASE_COLUMNS])
+
+
 @register(
     "initial_baselines",
     V.sql(

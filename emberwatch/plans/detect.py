@@ -6,18 +6,21 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberwatch.functions.scores import priority
 from emberwatch.operators import profiles as behaviour
 from emberwatch.operators.alerts import union_alerts
+from emberwatch.operators.baselines import baselines
 from emberwatch.operators.bursts import Burst, burst_alerts
 from emberwatch.operators.intel import threat_intel_alerts
 from emberwatch.operators.rules import Rule, rule_alerts
 from emberwatch.operators.sequences import brute_force_success, privilege_escalation
 from emberwatch.operators.signatures import Signature, blocked_ip_alerts, hash_alerts, hash_frame, signature_alerts
 from emberwatch.plans import anomaly, heuristic, network
+from emberwatch.sources.tables import read_baselines, save_table
 
 Detector = Callable[[DataFrame], DataFrame]
 DEDUP_KEY = ("alert_type", "host", "source_ip", "user")
@@ -109,5 +112,21 @@ def run(logs: DataFrame, k: Knowledge, extra: dict[str, Detector] | None = None)
     return deduplicate(prioritise(union_alerts([d(logs) for d in found.values()])))
 
 
+def refresh_baselines(logs: DataFrame, path: str, as_of: datetime | str, days: int = 7) -> DataFrame:
+    """Replace the stored baselines by those of the last ``days`` days and return them as stored.
+
+    Metrics that have too few values now keep their stored row. Run it as a batch job; streams pick the table up,
+    since they ask for their detectors in every micro-batch.
+    """
+    fresh = baselines(logs, as_of, days)
+    try:
+        stored = read_baselines(logs.sparkSession, path)
+        fresh = fresh.unionByName(stored.join(fresh.select("metric"), "metric", "left_anti"), allowMissingColumns=True)
+    except AnalysisException:  # the first time
+        pass
+    save_table(fresh, path)
+    return read_baselines(logs.sparkSession, path)
+
+
 def detection_method_is(method: str) -> Column:
     return F.col("detection_method") == method

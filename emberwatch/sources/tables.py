@@ -13,7 +13,7 @@ from pyspark.sql.types import DateType, StructField, StructType
 
 from emberwatch.functions import predicates as P
 from emberwatch.functions.fields import json_map
-from emberwatch.schema import ALERT_SCHEMA, LOG_SCHEMA, THREAT_INTEL_SCHEMA
+from emberwatch.schema import ALERT_SCHEMA, BASELINE_SCHEMA, LOG_SCHEMA, THREAT_INTEL_SCHEMA
 
 # The columns that logs can be filtered by.
 FILTER_COLUMNS = ("appname", "host", "hostname", "source_type", "file")
@@ -269,6 +269,10 @@ def save_table(df: DataFrame, path: str) -> None:
     materialise(df, "replacement").write.mode("overwrite").parquet(path)
 
 
+def read_baselines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(BASELINE_SCHEMA).parquet(path)
+
+
 def query(spark: SparkSession, text: str, args: dict[str, Any] | None = None, **frames: DataFrame) -> DataFrame:
     """Ad-hoc SQL with named parameters (``:name``) and frames (``{name}``)."""
     return spark.sql(text, args=args, **frames) if args else spark.sql(text, **frames)

@@ -7,7 +7,7 @@ import pytest
 from compare import compare, connection
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = "field_extraction ioc_extract baselines all_bursts privilege_escalation_rearm merged_profiles stream_windowed_counts".split()
+SAMPLE = "field_extraction ioc_extract baselines all_bursts privilege_escalation_rearm merged_profiles stream_windowed_counts burst_members new_indicators refreshed_baselines".split()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
 
