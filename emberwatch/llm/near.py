@@ -5,8 +5,9 @@ batches, and it is dropped once the posterior chance that its similarity reaches
 miss probability. What survives is verified on the full shingle sets. Links give components by star contraction.
 
 A bucket is never expanded into all its pairs. First every member is compared with the bucket's smallest document.
-Only members outside the bucket's largest component are then compared with the others, in blocks of bounded size,
-and only pairs that survive the signatures leave a block. So no candidate pair is skipped unless its two documents
+Only members outside the bucket's largest component are then compared with the others, in blocks of bounded size.
+A block gives their best pair with each component; where that one fails and others are left, full sets are compared
+inside blocks, which give links only. So no candidate pair is skipped unless its two documents
 are in one component already.
 """
 
@@ -219,29 +220,86 @@ def _verified(percent: int):
     return run
 
 
-def _in_blocks(percent: int):
-    """Pairs of a stray with a member of another component that survive the signatures and the ratio of their sizes."""
+def _arrays(members: pa.Scalar) -> tuple:
+    rows = members.as_py()
+    return rows, *(np.array([r[c] for r in rows]) for c in ("doc_id", "n", "comp", "stray", "other"))
+
+
+def _best_in_blocks(percent: int):
+    """For a stray and another component of its block, the pair whose signatures agree most, of those that survive.
+
+    ``more`` says that further members of that component survive too.
+    """
     steps = least_matches(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = [], []
+            out: list[tuple[int, int, int, bool]] = []
             for members in batch.column("members"):
-                rows = members.as_py()
-                ids, n, comp, stray, other = (np.array([r[c] for r in rows]) for c in ("doc_id", "n", "comp", "stray", "other"))
+                rows, ids, n, comp, stray, other = _arrays(members)
                 sigs = np.frombuffer(b"".join(r["sig"] for r in rows), np.uint16).reshape(-1, HASHES)
                 for x in np.flatnonzero(other):
                     # Two strays meet twice; the larger one takes the smaller.
                     near = np.flatnonzero(~other & (comp != comp[x]) & (~stray | (ids < ids[x])))
                     near = near[100 * np.minimum(n[near], n[x]) >= percent * np.maximum(n[near], n[x])]
                     hit = near[surviving(sigs[near], np.broadcast_to(sigs[x], (len(near), HASHES)), steps)]
-                    a += np.minimum(ids[hit], ids[x]).tolist()
-                    b += np.maximum(ids[hit], ids[x]).tolist()
+                    hit = hit[np.argsort(-(sigs[hit] == sigs[x]).sum(axis=1), kind="stable")]
+                    _, first, count = np.unique(comp[hit], return_index=True, return_counts=True)
+                    for y, c in zip(ids[hit[first]].tolist(), count.tolist(), strict=True):
+                        out.append((min(y, int(ids[x])), max(y, int(ids[x])), int(ids[x]), c > 1))
+            columns = list(zip(*out, strict=True)) or [[], [], [], []]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["a", "b", "stray", "more"])
+
+    return run
+
+
+def _linked_in_blocks(percent: int):
+    """For a stray and another component of its block one link, if full sets give any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for members in batch.column("members"):
+                rows, ids, n, comp, _, other = _arrays(members)
+                sets = [np.frombuffer(r["shingles"], np.uint64) for r in rows]
+                for x in np.flatnonzero(other):
+                    near = np.flatnonzero(~other & (comp != comp[x]))
+                    near = near[100 * np.minimum(n[near], n[x]) >= percent * np.maximum(n[near], n[x])]
+                    if len(near):
+                        theirs = np.concatenate([sets[y] for y in near])
+                        at = np.minimum(np.searchsorted(sets[x], theirs), len(sets[x]) - 1)
+                        both = np.add.reduceat((sets[x][at] == theirs).astype(np.int64), np.cumsum(n[near]) - n[near])
+                        hit = near[100 * both >= percent * (n[near] + n[x] - both)]
+                        one = ids[hit[np.unique(comp[hit], return_index=True)[1]]]
+                        a += np.minimum(one, ids[x]).tolist()
+                        b += np.maximum(one, ids[x]).tolist()
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
 
+def _labelled(members: DataFrame, linked: DataFrame) -> DataFrame:
+    """The members of buckets with their component so far."""
+    named = members.join(linked.select(F.col("node").alias("doc_id"), F.col("component").alias("comp")), "doc_id", "left")
+    return named.select("key", "head", "doc_id", F.coalesce("comp", "doc_id").alias("comp"))
+
+
+def _laid_out(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Blocks of strays against blocks of all members, as rows of at most about ``BLOCK`` of each.
+
+    ``members`` has key, doc_id, comp, stray, and for the key the numbers of blocks, _blocks and _strays.
+    """
+    rest, hashed = members.join(sets, "doc_id"), F.xxhash64("doc_id")
+    row = F.struct("doc_id", "comp", "stray", "other", *[c for c in sets.columns if c != "doc_id"]).alias("row")
+    ones = rest.withColumn("i", F.pmod(hashed, "_blocks")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("_strays") - 1)))
+    ones = ones.withColumn("other", F.lit(False)).select("key", "i", "j", row)
+    others = rest.where("stray").withColumn("j", F.pmod(hashed, "_strays"))
+    others = others.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    others = others.withColumn("other", F.lit(True)).select("key", "i", "j", row)
+    return ones.unionByName(others).groupBy("key", "i", "j").agg(F.collect_list("row").alias("members")).select("members")
+
+
 def _exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("a_set"))
     b = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("b_set"))
@@ -311,28 +369,32 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     links = _exact(sized.select("a", "b", "a_sig", "b_sig").mapInArrow(_pruned(percent), "a long, b long"), sets, percent)
     first = components(links)
 
-    # Members that the stars left in different components.
-    labelled = members.where("m > 2").join(first.select(F.col("node").alias("doc_id"), F.col("component").alias("comp")), "doc_id", "left")
-    labelled = labelled.withColumn("comp", F.coalesce("comp", "doc_id"))
-    labelled = labelled.select("key", "head", "doc_id", "comp")
-    # Of a bucket's components the largest needn't be compared with itself, so only the others, the strays, are laid
-    # against all members: blocks of strays against blocks of members.
+    # Members that the stars left in different components. Of a bucket's components the largest needn't be compared
+    # with itself, so only the others, the strays, are laid against all members.
+    labelled = _labelled(members.where("m > 2"), first)
     sizes = labelled.groupBy("key", "comp").agg(F.count("*").alias("_n")).groupBy("key")
     sizes = sizes.agg(F.max_by("comp", F.struct("_n", "comp")).alias("_main"), F.max("_n").alias("_top"), F.sum("_n").alias("_all"))
     sizes = sizes.where("_top < _all").select(
         "key", "_main", F.ceil(F.col("_all") / BLOCK).alias("_blocks"), F.ceil((F.col("_all") - F.col("_top")) / BLOCK).alias("_strays")
     )
-    rest = labelled.join(sizes, "key").where("doc_id <> head").withColumn("stray", F.col("comp") != F.col("_main")).join(sigs, "doc_id")
-    hashed = F.xxhash64("doc_id")
-    row = F.struct("doc_id", "n", "comp", "stray", "other", "sig").alias("row")
-    ones = rest.withColumn("i", F.pmod(hashed, "_blocks")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("_strays") - 1)))
-    ones = ones.withColumn("other", F.lit(False)).select("key", "i", "j", row)
-    others = rest.where("stray").withColumn("j", F.pmod(hashed, "_strays")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    others = others.withColumn("other", F.lit(True)).select("key", "i", "j", row)
-    rest = ones.unionByName(others).groupBy("key", "i", "j").agg(F.collect_list("row").alias("members"))
-    pairs = rest.select("members").mapInArrow(_in_blocks(percent), "a long, b long").distinct()
-    more = _exact(pairs, sets, percent)
-    linked = components(first.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more))
+    rest = labelled.join(sizes, "key").where("doc_id <> head").withColumn("stray", F.col("comp") != F.col("_main"))
+    best = _laid_out(rest, sigs).mapInArrow(_best_in_blocks(percent), "a long, b long, stray long, more boolean")
+    best = written(best.groupBy("a", "b", "stray").agg(F.max("more").alias("more")))
+    more = written(_exact(best.select("a", "b").distinct(), sets, percent))
+    chain = first.select(F.col("component").alias("a"), F.col("node").alias("b"))
+    second = components(chain.union(more))
+
+    # A stray whose best pair with a component failed, though others survived, meets all members once more: this time
+    # with full sets inside the blocks, so that only links come out, however many pairs are close to the threshold.
+    doubtful = written(best.where("more").join(more, ["a", "b"], "left_anti").select(F.col("stray").alias("doc_id")).distinct())
+    labelled = _labelled(members.where("m > 2"), second)
+    strays = labelled.join(doubtful, "doc_id").select("key", "doc_id").withColumn("stray", F.lit(True))
+    keys = strays.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("_strays"))
+    keys = keys.join(members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("_blocks")), "key")
+    rest = labelled.join(keys, "key").join(strays, ["key", "doc_id"], "left").withColumn("stray", F.coalesce("stray", F.lit(False)))
+    last = _laid_out(rest, sets.select("doc_id", "n", "shingles")).mapInArrow(_linked_in_blocks(percent), "a long, b long")
+    chain = second.select(F.col("component").alias("a"), F.col("node").alias("b"))
+    linked = components(chain.union(last.distinct()))
 
     named = rows.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
     named = named.join(linked.withColumnRenamed("node", "rep"), "rep", "left")
