@@ -358,7 +358,7 @@ class Scorer:
         return np.fromiter(map(known.__getitem__, words), np.int32, len(words))
 
     def scores(self, texts: Iterator[str | None]) -> list[float]:
-        """The calibrated score of each text; one without words counts as a window of nothing."""
+        """The calibrated score of each text; one without words has no window and scores 0."""
         tops: list[float] = []
         wins: list[np.ndarray] = []
         owners: list[np.ndarray] = []
@@ -381,7 +381,6 @@ class Scorer:
             words, i = _words(text), len(tops)
             tops.append(-np.inf)
             if not words:
-                tops[i] = float(self.net.p["bias"][0])
                 continue
             step = 1 << 16  # very long texts go in pieces that overlap by a window
             for at in range(0, max(1, len(words) - WINDOW + STRIDE), step):
@@ -420,7 +419,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, most: int
 
     Learns from ``labels`` (doc_id, toxic) of rows that aren't held out, see ``training_rows``; without rows of
     both classes the score is the share of toxic rows (0 without any). Only the text is an input. Null texts count as
-    empty; an empty text gets the score of a window of nothing. Null and repeated ids are rows like others.
+    empty; a text without words has no window and scores 0. Null and repeated ids are rows like others.
     An empty table gives an empty result. Other columns are ignored.
     """
     texts, toxic = training_rows(docs, labels, most)
