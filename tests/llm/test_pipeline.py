@@ -18,8 +18,8 @@ SF = "/root/testdata/sf0.001"
 def folder(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("tables"))
     rows = [(i, t, "ab"[i % 2]) for i, t, _ in toxic_texts(n=800)]
-    body = " ".join(f"term{i}" for i in range(80))
-    rows += [(9000 + i, body.replace(f"term{i}", "other"), "a") for i in range(6)]  # near copies
+    body = [f"term{i}" for i in range(80)]
+    rows += [(9000 + i, " ".join([*body[:i], "other", *body[i + 1 :]]), "a") for i in range(6)]  # near copies
     rows += [(9500, "Some words before. " + QUESTION, "b"), (9600, None, None), (None, "no id at all", "a"), (9700, "", "b")]
     brute.table(spark, rows).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(i, y) for i, _, y in toxic_texts(n=800)], "doc_id long, toxic int").write.parquet(f"{path}/labels.parquet")
