@@ -221,3 +221,26 @@ def test_every_shared_stretch_is_tried(spark):
     found = leaks.leaks(brute.table(spark, rows), spark.createDataFrame([(1, item)], "item_id int, text string"))
     assert found.select("doc_id").distinct().count() == 9
     assert found.where(F.col("coverage") < 1).count() == 0
+
+
+def test_altered_items_are_met_at_any_place(spark):
+    """Items with single words altered leave short stretches, which are met whatever their place in a document."""
+    altered = {15: (8,), 23: (8, 16), 31: (8, 16, 24), 30: (6, 12, 18, 24)}
+    word = lambda i: "".join(chr(97 + int(d)) for d in str(i + 100))
+    items, rows = [], []
+    for k, (n, places) in enumerate(altered.items()):
+        words = [f"w{word(k)}x{word(i)}" for i in range(1, n + 1)]
+        items.append((k, " ".join(words)))
+        copy = " ".join("altered" if i in places else w for i, w in enumerate(words, 1))
+        rows += [(4 * k + before, " ".join(["filler"] * before + [copy, "end"]), None) for before in range(4)]
+    found = leaks.leaks(brute.table(spark, rows), spark.createDataFrame(items, "item_id int, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(i, i // 4) for i in range(16)}
+    # A quarter of a long item, in stretches of five words: 25 words in line, each window at another place mod 4.
+    words = [f"z{word(i)}" for i in range(100)]
+    copy = [w if i < 30 and i % 6 < 5 else f"other{word(i)}" for i, w in enumerate(words)]
+    rows = [(before, " ".join(["filler"] * before + copy), None) for before in range(4)]
+    found = leaks.leaks(brute.table(spark, rows), spark.createDataFrame([(1, " ".join(words))], "item_id int, text string")).collect()
+    assert {(r.doc_id, r.windows, r.coverage) for r in found} == {(i, 5, 0.25) for i in range(4)}
+    rows = [(n, " ".join(["filler", *words[40 : 40 + n], "end"]), None) for n in (20, 21)]
+    found = leaks.leaks(brute.table(spark, rows), spark.createDataFrame([(1, " ".join(words))], "item_id int, text string")).collect()
+    assert [(r.doc_id, r.windows) for r in found] == [(21, 17)]
