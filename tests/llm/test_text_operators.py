@@ -244,3 +244,22 @@ def test_altered_items_are_met_at_any_place(spark):
     rows = [(n, " ".join(["filler", *words[40 : 40 + n], "end"]), None) for n in (20, 21)]
     found = leaks.leaks(brute.table(spark, rows), spark.createDataFrame([(1, " ".join(words))], "item_id int, text string")).collect()
     assert [(r.doc_id, r.windows) for r in found] == [(21, 17)]
+
+
+def test_leaks_add_up_over_close_alignments(spark):
+    word = lambda i: "".join(chr(97 + int(d)) for d in str(i + 100))
+    plain = [f"w{word(i)}" for i in range(45)]
+    longer = [*plain[:15], "more", *plain[15:30], "more", *plain[30:]]
+    shorter = [w for i, w in enumerate(plain) if i not in (11, 23, 34)]
+    named = [{11: "Tom", 22: "Tom", 33: "Tom"}.get(i, w.replace("w", "n")) for i, w in enumerate(plain)]
+    renamed = ["Mary Ann" if w == "Tom" else w for w in named]
+    united = [{9: "60 km", 20: "7 kg", 31: "5 hours"}.get(i, w.replace("w", "u")) for i, w in enumerate(plain)]
+    bare = [{9: "61", 20: "8", 31: "4"}.get(i, w) for i, w in enumerate(united)]
+    far = [*plain[:15], *(f"f{word(i)}" for i in range(100)), *plain[30:]]  # two thirds of an item, but not in one place
+    items = spark.createDataFrame([(1, " ".join(plain)), (2, " ".join(named)), (3, " ".join(united))], "item_id int, text string")
+    texts = [longer, shorter, renamed, bare, far]
+    rows = [(i, " ".join(["filler", "it", *t, "end"]), None) for i, t in enumerate(texts)]
+    found = {(r.doc_id, r.item_id): r for r in leaks.leaks(brute.table(spark, rows), items).collect()}
+    assert set(found) == {(0, 1), (1, 1), (2, 2), (3, 3)}
+    assert found[0, 1].coverage == found[2, 2].coverage == found[3, 3].coverage == 1 and found[1, 1].coverage == 42 / 45
+    assert found[2, 2].consistent and found[0, 1].windows == 3 * 11
