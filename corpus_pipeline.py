@@ -36,7 +36,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold no item of the benchmark."""
-    return leaks.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return leaks.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), inside=True)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

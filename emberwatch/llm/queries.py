@@ -24,7 +24,7 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = leaks.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    found = leaks.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), inside=True)
     return found.select("doc_id", "item_id", "windows", "coverage", "consistent")
 
 

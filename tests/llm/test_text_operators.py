@@ -263,3 +263,23 @@ def test_leaks_add_up_over_close_alignments(spark):
     assert set(found) == {(0, 1), (1, 1), (2, 2), (3, 3)}
     assert found[0, 1].coverage == found[2, 2].coverage == found[3, 3].coverage == 1 and found[1, 1].coverage == 42 / 45
     assert found[2, 2].consistent and found[0, 1].windows == 3 * 11
+
+
+def test_short_items_inside_documents_and_short_documents(spark, tmp_path):
+    """Through the registered query and the pipeline's stage, which look for short items everywhere."""
+    import corpus_pipeline
+    from emberwatch.llm import queries
+
+    items = [(1, "why is snow white"), (2, "what is 5"), (3, "alpha beta gamma delta epsilon zeta eta theta"), (4, "one two three four five six"), (5, "Yes")]
+    texts = [
+        "we ask here why is snow white and nothing else", "so what is 5 then", "so what is 6 then", "gamma delta epsilon zeta",
+        "gamma delta epsilon", "now two three four five six seven", "why is the snow white", "he says yes to it",
+    ]
+    docs = brute.table(spark, [(i, t, None) for i, t in enumerate(texts)])
+    docs.drop(*brute.EXTRA.replace(",", " ").split()).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id int, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = {(r.doc_id, r.item_id): r for r in queries.op3_leaks(spark, str(tmp_path)).collect()}
+    assert set(found) == {(0, 1), (1, 2), (3, 3), (5, 4), (7, 5)}
+    assert {k[0]: r.coverage for k, r in found.items()} == {0: 1, 1: 1, 3: 0.5, 5: 5 / 6, 7: 1}
+    left = corpus_pipeline.without_leaks(spark, docs, str(tmp_path))
+    assert sorted(r.doc_id for r in left.collect()) == [2, 4, 6]
