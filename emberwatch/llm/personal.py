@@ -1,9 +1,10 @@
 """Personal data: checked formats, and boosted trees over candidate spans.
 
 Generators with high recall propose spans that may overlap. Trees boosted on the log loss look at their format and
-at the words around them. The formats' own checks label the candidates of a bounded sample of the corpus; variants
-of what they accept (other separators, spelled-out signs) and look-alikes (dates, versions, amounts) are added, so
-the trees learn the shape and the context, not only the check. Scores are calibrated on a part kept back, and the
+at the words around them. Of the candidates of a bounded sample of the corpus, the formats' own checks label those that
+they accept, and rules refute look-alikes (dates, versions, amounts, failed check digits); all others are unlabelled
+and not used, as they may be personal data in another form. Variants of what the checks accept (other separators,
+spelled-out signs) and look-alikes are added, so the trees learn the shape and the context, not only the check. Scores are calibrated on a part kept back, and the
 threshold is the lowest with the wanted precision there.
 """
 
@@ -43,6 +44,13 @@ CONTEXT = (
     "price|total|sum|eur|usd|cost", "id|order|invoice|number|no|ref|isbn",
 )
 _CONTEXT = [re.compile(rf"\b(?:{c})\b", re.I) for c in CONTEXT]
+#: What rules refute: dates, amounts, versions, and identifiers announced as such right before them.
+_DATE = re.compile(r"(?:19|20)[0-9]{2}([-/.])(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12][0-9]|3[01])|(?:0?[1-9]|[12][0-9]|3[01])([-/.])(?:0?[1-9]|[12][0-9]|3[01])\2(?:19|20)[0-9]{2}")
+_AMOUNT = re.compile(r"[0-9]{1,3}(?:([.,])[0-9]{3})(?:\1[0-9]{3})*(?:[.,][0-9]{1,2})?")
+_SAYS_AMOUNT = re.compile(r"(?:[$€£]|\b(?:price|total|sum|eur|usd|cost)\b[: ]?)[ ]?$", re.I)
+_SAYS_VERSION = re.compile(r"\b(?:version|release|build|chapter|section)\b[: ]? ?$|\bv\.? ?$", re.I)
+_SAYS_CARD = re.compile(r"\b(?:card|visa|credit)\b[: ]? ?$", re.I)
+_QUAD = re.compile(r"[0-9]{1,3}(?:(?:[.]|\[\.\]| \. )[0-9]{1,3}){3}")
 SAMPLE_DOCS = 20_000
 SAMPLE_CANDIDATES = 20_000
 PRECISION = 0.98
@@ -96,6 +104,21 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def refuted(text: str, start: int, end: int) -> bool:
+    """Whether a rule says that a candidate is no personal data; what no rule speaks against may be."""
+    span, before = text[start:end], text[max(0, start - 12) : start]
+    if _DATE.fullmatch(span):
+        return True
+    if _SAYS_AMOUNT.search(before) and (_AMOUNT.fullmatch(span) or span.isdecimal()) or text[end : end + 1] in ("%", "€"):
+        return True
+    if _SAYS_VERSION.search(before) and re.fullmatch(r"[0-9.\-]+", span):
+        return True
+    if _QUAD.fullmatch(span):
+        return any(int(g) > 255 for g in re.findall("[0-9]+", span))
+    digits = re.sub(r"[ -]", "", span)
+    return bool(_SAYS_CARD.search(before)) and digits.isdecimal() and 12 <= len(digits) <= 19 and not luhn(digits)
+
+
 def features(text: str, start: int, end: int, generator: int) -> list[float]:
     span, before, after = text[start:end], text[max(0, start - 40) : start], text[end : end + 1]
     digits = "".join(c for c in span if c in "0123456789")
@@ -223,15 +246,17 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = text.as_py() or ""
             base = base_spans(t)
             for s, e, g in candidates(t):
-                rows.append(features(t, s, e, g))
-                labels.append(int(any(a < e and s < b for a, _, b in base)))
+                label = any(a < e and s < b for a, _, b in base)
+                if label or refuted(t, s, e):
+                    rows.append(features(t, s, e, g))
+                    labels.append(int(label))
         yield pa.RecordBatch.from_arrays(
             [pa.array([[float(v) for v in r] for r in rows], pa.list_(pa.float64())), pa.array(labels, pa.int32())], ["x", "y"]
         )
 
 
 def fitted(docs: DataFrame, precision: float = PRECISION) -> Boosted:
-    """Trees fitted to the candidates of at most ``SAMPLE_DOCS`` documents, the first by a hash of the id."""
+    """Trees fitted to the labelled candidates of at most ``SAMPLE_DOCS`` documents, the first by a hash of the id."""
     shipped(docs.sparkSession)
     ids = docs.where("doc_id IS NOT NULL").select("doc_id").orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(SAMPLE_DOCS)
     some = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids.distinct()), "doc_id", "left_semi")

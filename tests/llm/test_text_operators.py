@@ -283,3 +283,27 @@ def test_short_items_inside_documents_and_short_documents(spark, tmp_path):
     assert {k[0]: r.coverage for k, r in found.items()} == {0: 1, 1: 1, 3: 0.5, 5: 5 / 6, 7: 1}
     left = corpus_pipeline.without_leaks(spark, docs, str(tmp_path))
     assert sorted(r.doc_id for r in left.collect()) == [2, 4, 6]
+
+
+def test_common_personal_data_of_other_forms_is_found(spark):
+    """The more of a form a corpus holds, the surer it must not be taken for a look-alike."""
+    draw = random.Random(4)
+    d = lambda n: "".join(draw.choice("0123456789") for _ in range(n))
+    forms = [
+        lambda: f"please call 0{d(3)}-{d(7)} today", lambda: f"iban DE{d(2)} {d(4)} {d(4)} {d(4)} {d(4)} {d(2)} is mine",
+        lambda: f"mail jane{draw.choice('abcdef')}(at)doe{draw.choice('abcdef')}(dot)org soon",
+    ]
+    rows = [(i, forms[i % 3](), None) for i in range(6000)]
+    rows += [(6000 + i, f"on 20{d(2)}-0{draw.randint(1, 9)}-1{d(1)} we met", None) for i in range(1000)]
+    got = {r.doc_id: r.n_added for r in personal.personal_data(brute.table(spark, rows)).collect()}
+    for k in range(3):
+        assert sum(got[i] > 0 for i in range(k, 6000, 3)) > 1900, k
+    assert sum(got[i] for i in range(6000, 7000)) < 20
+
+
+def test_refuted_look_alikes():
+    says = lambda t, span: personal.refuted(t, t.index(span), t.index(span) + len(span))
+    for t, span in (("on 2024-05-06 we", "2024-05-06"), ("total 123.456.789 x", "123.456.789"), ("version 1.2.13.4567", "1.2.13.4567"), ("ip 300.1.1.1", "300.1.1.1"), ("card 4111 1111 1111 1112", "4111 1111 1111 1112")):
+        assert says(t, span), t
+    for t, span in (("call 030-1234567", "030-1234567"), ("iban DE12 3456 7890 1234 5678 90", "DE12 3456 7890 1234 5678 90"), ("host 10[.]1[.]2[.]3", "10[.]1[.]2[.]3"), ("a(at)b(dot)org", "a(at)b(dot)org")):
+        assert not says(t, span), t
