@@ -1005,6 +1005,19 @@ def stream_windowed_counts(spark, sf):
     return spark.read.parquet(f"{out}/rows").select(V.stamp("start").alias("start"), "source_ip", "n")
 
 
+@register(
+    "stream_all_windowed_counts",
+    V.sql(f"""SELECT {V.sql_stamp('s')} AS start, source_ip, n FROM (
+  SELECT time_bucket(INTERVAL '{DAY} seconds', ingestion_time) AS s, source_ip, count(*) AS n FROM x GROUP BY 1, 2)"""),
+)
+def stream_all_windowed_counts(spark, sf):
+    """The counts of all windows, also of those that the watermark has not passed."""
+    out = T.new_folder(spark, "stream-all-counts")
+    counts = C.windowed_counts(X.prepare(_in_parts(spark, sf, out)), "source_ip", DAY)
+    C.save_changes(counts, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    return C.latest_counts(spark, f"{out}/rows", "source_ip").select(V.stamp("start").alias("start"), "source_ip", "n")
+
+
 @register("stream_profiles", V.sql(D.profile_sql()))
 def stream_profiles(spark, sf):
     out = T.new_folder(spark, "stream-profiles")

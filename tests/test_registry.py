@@ -24,3 +24,13 @@ def test_every_query_is_a_plan_over_the_tables():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_stream_counts_of_all_windows(spark):
+    """Also of those that the watermark has not passed."""
+    import __spark_entry__ as entry
+
+    queries, name = entry.queries(), "stream_all_windowed_counts"
+    ok, note = compare(spark, connection(SF), SF, name, queries[name], entry.oracle_sql()[name])
+    assert ok, note
+    assert queries[name](spark, SF).agg({"n": "sum"}).first()[0] == spark.read.parquet(f"{SF}/events.parquet").count()
