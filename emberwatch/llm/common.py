@@ -52,3 +52,15 @@ def text_or_empty() -> Column:
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def finite(vector: Column) -> Column:
+    """Neither null nor empty nor holding null or non-finite components."""
+    fine = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
+    return F.coalesce(fine & (F.size(vector) > 0), F.lit(False))
+
+
+def usual_width(rows: DataFrame, vector: str) -> int | None:
+    """The length that most vectors have, the smaller of equally usual ones; None without rows."""
+    most = rows.groupBy(F.size(vector).alias("width")).count().orderBy(F.desc("count"), "width").first()
+    return most.width if most else None

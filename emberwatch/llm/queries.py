@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberwatch.llm import ann, leaks, mixing, near, personal, secrets, shards, suffixes, toxicity, wavelet
+from emberwatch.llm import ann, codes, leaks, merkle, mixing, near, negatives, personal, secrets, shards, suffixes, toxicity, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,20 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(_table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.with_neighbours(_table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.with_label_errors(*codes.compressed(_table(spark, sf_dir, "embeddings")))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_secrets": op2_secrets,
@@ -72,8 +86,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_wavelet_tokens": op8_wavelet_tokens,
     "op9_toxicity": op9_toxicity,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_fingerprints": op11_fingerprints,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """Rounds of assigning parts to entries and of moving entries, one after the other."""
+    ctes = [
+        f"""v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, label, [floor({scale} * x::DOUBLE)::BIGINT for x in embedding] AS q, len(embedding) // {parts} AS w
+  FROM embeddings WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0)""",
+        f"""s AS MATERIALIZED (SELECT rid, p, q[p * w + 1 : (p + 1) * w] AS x FROM v, unnest(range({parts})) AS u(p))""",
+        f"""b0 AS MATERIALIZED (
+  SELECT s.p, f.e, s.x AS c FROM s JOIN (SELECT rid, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM v QUALIFY e < {entries}) f USING (rid))""",
+    ]
+    distance = "list_sum([(s.x[i] - b.c[i]) * (s.x[i] - b.c[i]) for i in range(1, len(s.x) + 1)])"
+    for k in range(rounds + 1):
+        ctes.append(f"""d{k} AS MATERIALIZED (
+  SELECT rid, p, min({{'d': d, 'e': e}}) AS best FROM (SELECT s.rid, s.p, b.e, {distance} AS d FROM s JOIN b{k} b ON s.p = b.p) GROUP BY rid, p)""")
+        if k < rounds:
+            ctes.append(f"""m{k} AS (
+  SELECT p, e, list(c ORDER BY i) AS c FROM (
+    SELECT d.p, d.best.e AS e, i, ((sum(s.x[i]) - ((sum(s.x[i]) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS c
+    FROM d{k} d JOIN s ON s.rid = d.rid AND s.p = d.p, unnest(range(1, len(s.x) + 1)) AS u(i) GROUP BY d.p, d.best.e, i) GROUP BY p, e)""")
+            ctes.append(f"b{k + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM b{k} b LEFT JOIN m{k} m ON b.p = m.p AND b.e = m.e)")
+    return (
+        "WITH "
+        + ",\n".join(ctes)
+        + f""",
+o AS (SELECT rid, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM d{rounds} GROUP BY rid)
+SELECT v.vec_id, o.code, o.error, (sum(o.error) OVER (PARTITION BY v.label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM b{rounds}) AS codebooks_sha256
+FROM v JOIN o USING (rid)
+"""
+    )
+
+
 ORACLES: dict[str, str] = {
     "op10_near_duplicates": r"""
 WITH RECURSIVE w AS (
@@ -117,5 +167,22 @@ SELECT o.doc_id, o.size::BIGINT AS size, t.source_size, t.target,
             ELSE (floor(t.target)::BIGINT // t.source_size) * o.size
                  + greatest(0, least(o.pos + o.size, floor(t.target)::BIGINT % t.source_size) - o.pos) END::BIGINT AS taken
 FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source
+""",
+    "op12_vector_codes": _codes_sql(),
+    "op13_hard_negatives": """
+WITH r AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE) for x in embedding] AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.q, c.q)::BIGINT AS score
+  FROM r a JOIN r c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank,
+       s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score
+QUALIFY rank <= 5
 """,
 }
