@@ -183,7 +183,7 @@ def codebook_text(books: np.ndarray) -> str:
     return ",".join(map(str, books.reshape(-1).tolist()))
 
 
-def compressed(vectors: DataFrame, parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096, block: int = BLOCK) -> tuple[DataFrame, np.ndarray]:
+def compressed(vectors: DataFrame, parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096, block: int = BLOCK, task_rows: int = TASK_ROWS) -> tuple[DataFrame, np.ndarray]:
     """Codes of all vectors (vec_id, embedding, label), and the codebooks (part, entry, component) they refer to.
 
     The rows hold vec_id, label (as text), code (two hexadecimal digits a part) and error, the squared distance to the
@@ -213,7 +213,7 @@ def compressed(vectors: DataFrame, parts: int = 8, entries: int = 16, rounds: in
 
     cut = rows.mapInArrow(_parted(width, parts, scale, lo, hi), "part int, key binary, row long, values binary, vec_id long, label string")
     order = ["part", "key", F.xxhash64("row"), "row"]  # equal parts spread over several tasks
-    tasks = max(1, -(-box[0].n * parts // TASK_ROWS))
+    tasks = max(1, -(-box[0].n * parts // task_rows))
     blocks = written(cut.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(_flat(block), BLOCKS))
     for _ in range(rounds):
         sums = blocks.mapInArrow(_round(books), "part int, entry int, at int, total long, n long")

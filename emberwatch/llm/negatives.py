@@ -57,7 +57,7 @@ def scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Inner products of whole numbers held in doubles, exactly; what a long can't hold is cut to its ends."""
     if not len(a) or not len(b):
         return np.zeros((len(a), len(b)))
-    if np.abs(a).max() * np.abs(b).max() * a.shape[1] < EXACT:
+    if float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] < EXACT:
         return a @ b.T
     whole = np.array([[int(v) for v in r] for r in a], object) @ np.array([[int(v) for v in r] for r in b], object).T
     return np.clip(whole, LOWEST, HIGHEST)
@@ -66,8 +66,11 @@ def scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def bounds(a: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Least and largest inner product of each row of ``a`` with a point of each box, a little widened for rounding."""
     up, down = np.maximum(a, 0), np.minimum(a, 0)
-    slack = 1e-9 * (np.abs(a) @ np.maximum(np.abs(lo), np.abs(hi)).T)
-    return up @ lo.T + down @ hi.T - slack, up @ hi.T + down @ lo.T + slack
+    with np.errstate(over="ignore", invalid="ignore"):
+        slack = 1e-9 * (np.abs(a) @ np.maximum(np.abs(lo), np.abs(hi)).T)
+        least, most = up @ lo.T + down @ hi.T - slack, up @ hi.T + down @ lo.T + slack
+    least, most = np.where(np.isnan(least), -np.inf, least), np.where(np.isnan(most), np.inf, most)
+    return np.clip(least, float(LOWEST), float(HIGHEST)), np.clip(most, float(LOWEST), float(HIGHEST))
 
 
 def best_of(group: np.ndarray, ids: np.ndarray, s: np.ndarray, k: int) -> np.ndarray:
@@ -229,7 +232,7 @@ def _chosen(width: int, others: bool):
     return run
 
 
-def _read(width: int, k: int, others: bool):
+def _read(width: int, k: int, others: bool, chunk: int):
     """Rows of a chunk beside a block: the k best of each window of each anchor that reads the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +261,7 @@ def _read(width: int, k: int, others: bool):
                         continue
                     found = s[i, j].astype(np.int64)
                     keep = best_of(i, ids[j], found, k)
-                    held.append((row["chunk"] * CHUNK + picks[i[keep]], np.full(len(keep), w), ids[j[keep]], found[keep]))
+                    held.append((row["chunk"] * chunk + picks[i[keep]], np.full(len(keep), w), ids[j[keep]], found[keep]))
                     n += len(keep)
                 if n > HELD:
                     held[:] = [best()]
@@ -273,7 +276,7 @@ def _read(width: int, k: int, others: bool):
     return run
 
 
-def _found(chunks: DataFrame, blocks: DataFrame, zones: DataFrame, chunk_numbers: int, width: int, k: int, others: bool) -> DataFrame:
+def _found(chunks: DataFrame, blocks: DataFrame, zones: DataFrame, chunk_numbers: int, chunk: int, width: int, k: int, others: bool) -> DataFrame:
     """The k best candidates (anchor, window, vec_id, score, rank) of every window of ``chunks``."""
     asked = chunks.select("chunk", "labels", "vectors", "low", "high")
     every = zones.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunk_numbers - 1)).cast("array<long>")))
@@ -282,12 +285,12 @@ def _found(chunks: DataFrame, blocks: DataFrame, zones: DataFrame, chunk_numbers
     copies = chunks.select("chunk", F.col("ids").alias("chunk_ids"), F.col("labels").alias("chunk_labels"), "vectors", "low", "high")
     copies = copies.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1)).cast("array<long>")))
     read = chosen.join(blocks.select("block", "ids", "labels", F.col("vectors").alias("block_vectors")), "block").join(copies, ["chunk", "deal"])
-    found = read.mapInArrow(_read(width, k, others), "anchor long, window long, vec_id long, score long")
+    found = read.mapInArrow(_read(width, k, others, chunk), "anchor long, window long, vec_id long, score long")
     order = Window.partitionBy("anchor", "window").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def hard_negatives(vectors: DataFrame, anchors: Column, positives: int = 5, negatives: int = 5, percent: int = 80, scale: int = 256, block: int = BLOCK) -> DataFrame:
+def hard_negatives(vectors: DataFrame, anchors: Column, positives: int = 5, negatives: int = 5, percent: int = 80, scale: int = 256, block: int = BLOCK, chunk: int = CHUNK, task_rows: int = TASK_ROWS) -> DataFrame:
     """For each anchor (a row of ``vectors``, vec_id, embedding, label, where ``anchors`` holds) and each of its positives,
     the first ``negatives`` rows of another label that score at least ``percent`` of the positive and at most as much.
 
@@ -315,11 +318,11 @@ def hard_negatives(vectors: DataFrame, anchors: Column, positives: int = 5, nega
 
     keyed = rows.mapInArrow(_keyed(width, scale, lo, hi), "key binary, vec_id long, label long, asks boolean, vector binary")
     order = ["key", F.xxhash64("vec_id"), "vec_id"]  # equal vectors spread over several tasks
-    keyed = keyed.repartitionByRange(max(1, -(-box[0].n // TASK_ROWS)), *order).sortWithinPartitions(*order)
+    keyed = keyed.repartitionByRange(max(1, -(-box[0].n // task_rows)), *order).sortWithinPartitions(*order)
     blocks = written(keyed.mapInArrow(_blocked(block), BLOCKS))
     zones = written(blocks.select("block", "low_label", "high_label", "lo", "hi").mapInArrow(_zones(ZONES), "blocks binary, low_labels binary, high_labels binary, lo binary, hi binary"))
 
-    # Anchors in the order of the curve, numbered without a gap, CHUNK to a chunk. A task's blocks hold at most TASK_ROWS or so.
+    # Anchors in the order of the curve, numbered without a gap, so many to a chunk. A task's blocks hold at most ``task_rows`` or so.
     asked = blocks.mapInArrow(_anchors(width, positives), ANCHORS).withColumn("task", F.shiftright("block", 32))
     asked = written(asked.withColumn("at", F.row_number().over(Window.partitionBy("task").orderBy("block", "vec_id"))))
     counts = sorted(asked.groupBy("task").count().collect())  # a row for each task that wrote blocks
@@ -329,20 +332,20 @@ def hard_negatives(vectors: DataFrame, anchors: Column, positives: int = 5, nega
     before = dict(zip((r.task for r in counts), np.cumsum([0, *(r["count"] for r in counts)]).tolist(), strict=False))
     before = F.broadcast(spark.createDataFrame(list(before.items()), "task long, before long"))
     anchor = F.col("before") + F.col("at") - 1
-    asked = asked.join(before, "task").withColumn("anchor", anchor).withColumn("chunk", F.floor(anchor / CHUNK))
+    asked = asked.join(before, "task").withColumn("anchor", anchor).withColumn("chunk", F.floor(anchor / chunk))
 
     def chunked(df: DataFrame, more: list[str], windows, number: int) -> DataFrame:
         members = F.array_sort(F.collect_list(F.struct("anchor", "vec_id", "label", "vector", *more)))
-        packed = df.groupBy("chunk").agg(members.alias("members"))  # at most CHUNK
+        packed = df.groupBy("chunk").agg(members.alias("members"))  # at most ``chunk``
         return written(packed.mapInArrow(_packed(windows, number), "chunk long, ids binary, labels binary, vectors binary, low binary, high binary"))
 
-    chunks = -(-total // CHUNK)
-    found = _found(chunked(asked, ["least"], upwards, 1), blocks, zones, chunks, width, positives, False)
+    chunks = -(-total // chunk)
+    found = _found(chunked(asked, ["least"], upwards, 1), blocks, zones, chunks, chunk, width, positives, False)
     found = written(found.select("anchor", "rank", F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score")))
     tops = found.groupBy("anchor").agg(F.array_sort(F.collect_list(F.struct("rank", "positive_score"))).alias("tops"))
     tops = tops.select("anchor", F.transform("tops", lambda t: t["positive_score"]).alias("tops"))  # at most ``positives`` each
     windows = lambda m: below(m["tops"] or [], _longs(m["home"]), negatives, percent)
-    best = _found(chunked(asked.join(tops, "anchor", "left"), ["tops", "home"], windows, positives), blocks, zones, chunks, width, negatives, True)
+    best = _found(chunked(asked.join(tops, "anchor", "left"), ["tops", "home"], windows, positives), blocks, zones, chunks, chunk, width, negatives, True)
     pairs = found.join(asked.select("anchor", F.col("vec_id").alias("anchor_id")), "anchor").withColumn("window", (F.col("rank") - 1).cast("long")).drop("rank")
     rows = best.select("anchor", "window", F.col("rank").cast("int").alias("rank"), F.col("vec_id").alias("negative_id"), F.col("score").alias("negative_score"))
     return rows.join(pairs, ["anchor", "window"]).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
