@@ -20,6 +20,8 @@ import zlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,15 +38,15 @@ SINGLE = 16
 #: Characters of the digests of sections and paragraphs, and of pieces.
 NODE, LEAF = 8, 4
 #: Bytes of text of a part, and the parts at most.
-PART_BYTES, MOST_PARTS = 64 << 20, 20_000
-#: Rows that are sampled for the bounds of the parts.
+PART_BYTES, MOST_PARTS = 16 << 20, 20_000
+#: Rows that are sampled for the bounds of the parts, about.
 SAMPLE = 40_000
 
 _TOKEN = re.compile(rf"\S{{1,{LONGEST}}}\s*|\s+")
 
 
 def _digest(kind: bytes, data: bytes) -> bytes:
-    return hashlib.blake2b(data, digest_size=16, person=kind).digest()
+    return blake2b(data, digest_size=16, person=kind).digest()
 
 
 def _short(digest: bytes, size: int) -> str:
@@ -54,17 +56,18 @@ def _short(digest: bytes, size: int) -> str:
 def pieces(paragraph: str, ends: dict[str, bool], single: int = 0) -> list[str]:
     """A paragraph cut after each of ``single`` words, then after words whose hash says so; ``ends`` keeps what is known of words."""
     tokens = _TOKEN.findall(paragraph)
-    out, held = tokens[:single], []
-    for token in tokens[single:]:
-        held.append(token)
+    out = tokens[:single]
+    first = len(out)
+    for i in range(first, len(tokens)):
+        token = tokens[i]
         end = ends.get(token)
         if end is None:
             end = ends[token] = zlib.crc32(token.rstrip().encode("utf-8", "surrogatepass")) % PIECE == 0
-        if end or len(held) == MOST_WORDS:
-            out.append("".join(held))
-            held = []
-    if held:
-        out.append("".join(held))
+        if end or i - first == MOST_WORDS - 1:
+            out.append("".join(tokens[first : i + 1]))
+            first = i + 1
+    if first < len(tokens):
+        out.append("".join(tokens[first:]))
     return out
 
 
@@ -87,10 +90,10 @@ def fingerprint(text: str, ends: dict[str, bool] | None = None) -> str:
     for line in text.splitlines(keepends=True):
         cut = pieces(line, ends, single)
         single = max(0, single - len(cut))
-        leaves = [_digest(b"piece", p.encode("utf-8", "surrogatepass")) for p in cut]
+        leaves = [blake2b(p.encode("utf-8", "surrogatepass"), digest_size=16).digest() for p in cut]
         digest = _digest(b"paragraph", b"".join(leaves))
         nodes.append(digest)
-        shown.append(" " + _short(digest, NODE) + "".join(_short(x, LEAF) for x in leaves))
+        shown.append(" " + _short(digest, NODE) + base64.b64encode(b"".join([x[: LEAF * 3 // 4] for x in leaves]), b"-_").decode())
         if not line.strip() or digest[-1] % SECTION == 0:
             close()
     if nodes:
@@ -99,6 +102,7 @@ def fingerprint(text: str, ends: dict[str, bool] | None = None) -> str:
     return root + "".join("".join(s) for _, s in sections)
 
 
+@lru_cache(maxsize=4)
 def parsed(mark: str) -> tuple[str, list[tuple[str, list[tuple[str, list[str]]]]]]:
     """Root and sections of a fingerprint: digest and paragraphs; a paragraph: digest and pieces."""
     root, *sections = mark.split("/")
@@ -228,9 +232,10 @@ def with_neighbours(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     if not size.n:
         return spark.createDataFrame([], COLUMNS)
     parts = min(MOST_PARTS, size.n, max(-(-size.bytes // part_bytes), 2 * spark.sparkContext.defaultParallelism))
-    sample = docs.select(*key).orderBy(F.xxhash64(F.lit(3), "row"), "row").limit(SAMPLE).collect()
-    sample = sorted(tuple(r) for r in sample)
-    bounds = sorted({sample[len(sample) * i // parts] for i in range(1, parts)})
+    # By a hash, about SAMPLE rows of any number; a limit would send as many rows from every task.
+    drawn = F.pmod(F.xxhash64(F.lit(3), "row"), F.lit(size.n)) < SAMPLE
+    sample = sorted(tuple(r) for r in docs.where(drawn).select(*key).collect())
+    bounds = sorted({sample[len(sample) * i // parts] for i in range(1, parts)}) if sample else []
     shared = spark.sparkContext.broadcast(bounds)  # fewer than MOST_PARTS keys
 
     @F.arrow_udf("int")
