@@ -1,7 +1,7 @@
 """Secrets in texts: formats, and a randomness test battery over words in inferred encodings.
 
 Keys and tokens are drawn at random from an alphabet, words and identifiers aren't. A long word that looks like an
-encoding (hexadecimal, base 32, 36, 62, 64) is tested for uniform use of the alphabet (chi-squared), for runs above
+encoding (hexadecimal, base 32, 36, 62, 64, or letters of one or either case) is tested for uniform use of the alphabet (chi-squared), for runs above
 and below the middle of the alphabet, and for serial correlation; the smallest of the three p-values, corrected for
 being the smallest of three, is the word's. Random words have uniform p-values whatever their length; others pile up
 near 0, the more the longer they are. So, per class of lengths, the number of random words is estimated from the
@@ -24,6 +24,10 @@ ACCESS = "AKIA[A-Z0-9]{12,}"
 HEX = "[0-9a-f]{32,}"
 #: Words that are tested; shorter ones say too little.
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])"
+#: Words of letters alone are tested from this length on; shorter ones are too often real words for the tests to tell.
+LETTERS_ONLY = 32
+#: Matches of a text that are placed at a time.
+PORTION = 256
 #: Share of other words that may be among those called random.
 RATE = 0.05
 BINS = 40
@@ -33,8 +37,10 @@ DIGITS, LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 #: Encodings with the words that they take; the first that fits is inferred.
 ENCODINGS = (
     ("^(?:[0-9a-f]+|[0-9A-F]+)=*$", DIGITS + "abcdef", True),
+    ("^(?:[a-z]+|[A-Z]+)=*$", LOWER, True),
     ("^[A-Z2-7]+=*$", LOWER + "234567", True),
     ("^(?:[0-9a-z]+|[0-9A-Z]+)=*$", DIGITS + LOWER, True),
+    ("^[A-Za-z]+=*$", LOWER.upper() + LOWER, False),
     ("^[0-9A-Za-z]+=*$", LOWER.upper() + LOWER + DIGITS, False),
     ("^[0-9A-Za-z+/]+=*$", LOWER.upper() + LOWER + DIGITS + "+/", False),
     ("", LOWER.upper() + LOWER + DIGITS + "-_", False),
@@ -58,11 +64,23 @@ def located(body: Column, pattern: str, kind: int, keep: Callable[[Column], Colu
         more = F.concat(so_far["out"], F.array(span))
         return F.struct(stop.alias("at"), (F.when(keep(x["word"]), more).otherwise(so_far["out"]) if keep else more).alias("out"))
 
+    def some(so_far: Column, x: Column) -> Column:
+        """The spans of a portion; an array is copied whenever it grows, so those of all portions are laid end to end once."""
+        of = F.aggregate(x, F.struct(so_far["at"].alias("at"), none.alias("out")), step)
+        return _once(of, lambda p: F.struct(p["at"].alias("at"), F.concat(so_far["out"], F.array(p["out"])).alias("out")))
+
+    portions = lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / PORTION).cast("int")), lambda i: F.slice(x, i * PORTION + 1, PORTION))
     zipped = F.zip_with(pieces, found, lambda p, w: F.struct(p.alias("piece"), w.alias("word")))
-    spans = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda x: x["out"])
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    spans = F.flatten(F.aggregate(_once(zipped, portions), start, some, lambda x: x["out"]))
     return F.when(body.rlike(pattern), spans).otherwise(none)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _normal(z: Column) -> Column:
     """The normal distribution function, to about 1e-4."""
     return 1 / (1 + F.exp(-(1.5976 * z + 0.07056 * z * z * z)))
@@ -164,9 +182,9 @@ def secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
     body = F.col("body")
     rows = docs.select("doc_id", text_or_empty().alias("body"))
     long_enough = lambda w: F.length(F.regexp_extract(w, ASSIGN, 2)) >= 8
-    mixed = lambda w: w.rlike("[0-9]") & w.rlike("[A-Za-z]")
+    mixed = lambda w: w.rlike("[0-9]") & w.rlike("[A-Za-z]") | w.rlike(f"^[A-Za-z]{{{LETTERS_ONLY},}}=*$")
     base = F.concat(located(body, ASSIGN, 0, long_enough), located(body, ACCESS, 1), located(body, HEX, 2))
-    words = F.when(body.rlike("[0-9]"), located(body, CANDIDATE, 3, mixed)).otherwise(F.array().cast(SPAN))
+    words = F.when(body.rlike(CANDIDATE), located(body, CANDIDATE, 3, mixed)).otherwise(F.array().cast(SPAN))
     rows = rows.select("doc_id", F.array_sort(F.transform(base, lambda s: s.dropFields("word"))).alias("base"), words.alias("words"))
     rows = written(rows.select("doc_id", "base", tested(F.col("words")).alias("words")))
     least = thresholds(rows.select(F.explode("words").alias("w")).select("w.n", "w.p"), rate)
