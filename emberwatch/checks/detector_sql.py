@@ -61,6 +61,19 @@ def burst(
     )
 
 
+def sliding(kind, when, k1, threshold, measure, seconds, k2="''", value="NULL", amount="0") -> str:
+    """Stretches of moments at which the measure of the last ``seconds`` reaches the threshold."""
+    over = f"OVER (PARTITION BY k1, k2 ORDER BY ets RANGE BETWEEN INTERVAL {seconds} SECONDS PRECEDING AND CURRENT ROW)"
+    measured = {"rows": f"count(*) {over}", "distinct": f"count(DISTINCT value) {over}", "amount": f"sum(amount) {over}"}[measure]
+    some = "AND value IS NOT NULL" if measure == "distinct" else ""
+    return f"""SELECT '{kind}' AS kind, k1, k2, min(ets) AS started, max(ets) AS ended, max(m)::BIGINT AS peak, count(*) AS points,
+  arg_min(id, ets) AS log_id
+FROM (SELECT *, m >= {threshold} AS hit, sum((m < {threshold})::INT) OVER (PARTITION BY k1, k2 ORDER BY ets) AS misses FROM (
+  SELECT k1, k2, ets, m, min(id) AS id FROM (
+    SELECT k1, k2, ets, id, {measured} AS m FROM (SELECT ets, id, {k1} AS k1, {k2} AS k2, {value} AS value, {amount} AS amount FROM x WHERE {when})
+    WHERE k1 IS NOT NULL {some}) GROUP BY k1, k2, ets, m)) WHERE hit GROUP BY k1, k2, misses"""
+
+
 def brute_force_attempt(least=5):
     return burst("brute_force_attempt", "anomaly_detection", "high", FAILED, IP, least,
                  "concat('Password guessing by ', k1, ': ', n, ' sign-ins refused')", ip="k1", log=False)
@@ -307,6 +320,23 @@ def rule_sql(rule, where, by=None, least=0, seconds=0):
                user='"user"', host="host", rule=f"'{rule['id']}'")
 
 
+def rolling_rule_sql(rule, where, by, least, seconds):
+    """Rows of a cycle whose group has enough rows, of this cycle or earlier ones, within ``seconds`` of the cycle's end."""
+    frm = f"""(WITH r AS (SELECT *, nullif({by}, '') AS g FROM x WHERE {where}),
+  near AS (SELECT * FROM r WHERE g IS NOT NULL AND cycle - ts <= INTERVAL '{seconds} seconds'),
+  ends AS (SELECT DISTINCT g, cycle FROM near),
+  enough AS (SELECT e.g, e.cycle FROM ends e JOIN near n ON n.g = e.g AND n.cycle <= e.cycle AND e.cycle - n.ts <= INTERVAL '{seconds} seconds'
+    GROUP BY e.g, e.cycle HAVING count(*) >= {least})
+  SELECT near.* FROM near SEMI JOIN enough ON near.g = enough.g AND near.cycle = enough.cycle)"""
+    return row(f"'{rule['name']}'", "rule_engine", f"'{rule['severity']}'",
+               f"'[{rule['mitre_attack']['technique']}] {rule['description']}'", frm, log_id="id", ip="source_ip",
+               user='"user"', host="host", rule=f"'{rule['id']}'")
+
+
+def rule_brute_force_rolling(rule, least, seconds):
+    return rolling_rule_sql(rule, f"({_rule_field('event_type', EVENT_TYPE)}) = 'login_failed'", _rule_field("source_ip", "source_ip"), least, seconds)
+
+
 def rule_valid_accounts(rule):
     return rule_sql(rule, f"({_rule_field('event_type', EVENT_TYPE)}) = 'login_success' AND ({_rule_field('source_ip_type')}) = 'external' "
                           f"AND ({_rule_field('user_type')}) = 'privileged'")

@@ -15,6 +15,7 @@ from emberwatch.operators import baselines as B
 from emberwatch.operators import bursts as BU
 from emberwatch.operators import profiles as PR
 from emberwatch.operators import sequences as SQ
+from emberwatch.operators import sliding as SL
 from emberwatch.operators.alerts import meta
 from emberwatch.operators.bursts import Burst, burst_alerts
 from emberwatch.operators.intel import active_indicators, log_indicators, threat_intel_alerts
@@ -70,8 +71,8 @@ def shown(alerts: DataFrame, description: bool = True, **more: Column) -> DataFr
 
 
 def alert_rows(body: str) -> str:
-    return f"""SELECT sha256(concat_ws('|', method, alert_type, coalesce(rule, ''), coalesce(log_id, ''),
-  coalesce(source_ip, ''), coalesce(dest_ip, ''), coalesce("user", ''), CAST(cycle AS VARCHAR))) AS id,
+    parts = [f"coalesce({c}, '')" for c in ("method", "alert_type", "rule", "log_id", "source_ip", "dest_ip", '"user"', "CAST(cycle AS VARCHAR)")]
+    return f"""SELECT sha256(concat_ws('|', {', '.join(f'length({c})' for c in parts)}, {', '.join(parts)})) AS id,
   method AS detection_method, {V.sql_stamp('cycle')} AS created, * EXCLUDE (rule, method, cycle) FROM ({body})"""
 
 
@@ -553,6 +554,66 @@ def burst_members(spark, sf):
     return members.select(V.stamp("cycle").alias("created"), F.col("k1").alias("source_ip"), F.col("value").alias("port"), "n")
 
 
+# Bursts in event time. The same thresholds over windows that slide, so that cycles play no part.
+SLIDING = {
+    "port_scan": (lambda: network.port_scan(5, DAY), D.sliding("port_scan", f"{D.NETWORK} AND {D.PORT} IS NOT NULL", D.IP, 5, "distinct", DAY, value=D.PORT)),
+    "data_exfiltration": (
+        lambda: heuristic.data_exfiltration(15_000_000, DAY),
+        D.sliding("data_exfiltration", f"({D.BYTES}) > 0", D.IP, 15_000_000, "amount", DAY, amount=D.BYTES),
+    ),
+    "lateral_movement": (
+        lambda: heuristic.lateral_movement(3, DAY),
+        D.sliding("lateral_movement", f"({D.IP} IS NOT NULL OR {D.USER} IS NOT NULL)", f"coalesce({D.IP}, 'unknown')", 3, "distinct", DAY,
+                  k2=f"coalesce({D.USER}, 'unknown')", value="nullif(host, '')"),
+    ),
+    "ddos_attack": (
+        lambda: network.ddos_attack(4, DAY),
+        D.sliding("ddos_attack", D.NETWORK, f"nullif({V.js('dest_ip')}, '')", 4, "rows", DAY),
+    ),
+}
+_STRETCH = f"SELECT kind, k1, k2, {V.sql_stamp('started')} AS started, {V.sql_stamp('ended')} AS ended, peak, points, log_id FROM"
+
+
+def _stretches(spark: SparkSession, sf: str, *names: str) -> DataFrame:
+    found = SL.episodes(V.logs(spark, sf), [SLIDING[n][0]() for n in names])
+    return found.withColumns({c: V.stamp(c) for c in ("started", "ended")}).select("kind", "k1", "k2", "started", "ended", "peak", "points", "log_id")
+
+
+@register("port_scan_sliding", V.sql(f"{_STRETCH} ({SLIDING['port_scan'][1]})"))
+def port_scan_sliding(spark, sf):
+    return _stretches(spark, sf, "port_scan")
+
+
+@register("data_exfiltration_sliding", V.sql(f"{_STRETCH} ({SLIDING['data_exfiltration'][1]})"))
+def data_exfiltration_sliding(spark, sf):
+    return _stretches(spark, sf, "data_exfiltration")
+
+
+@register("all_bursts_sliding", V.sql(f"{_STRETCH} ({' UNION ALL '.join(s for _, s in SLIDING.values())})"))
+def all_bursts_sliding(spark, sf):
+    """Rows, distinct values and amounts in one pass."""
+    return _stretches(spark, sf, *SLIDING)
+
+
+@register(
+    "sliding_burst_alerts",
+    V.sql(f"""SELECT alert_type, severity, source_ip, log_id, {V.sql_stamp('started')} AS created, peak,
+  (SELECT array_to_string(list_slice(list_sort(list(DISTINCT {D.PORT})), 1, 20), ',') FROM x
+   WHERE {D.NETWORK} AND {D.PORT} IS NOT NULL AND {D.IP} = k1 AND ets BETWEEN started - INTERVAL {DAY} SECONDS AND ended) AS ports
+FROM (SELECT kind AS alert_type, 'high' AS severity, k1, k1 AS source_ip, log_id, started, ended, peak FROM ({SLIDING['port_scan'][1]}))"""),
+)
+def sliding_burst_alerts(spark, sf):
+    found = SL.sliding_alerts(V.logs(spark, sf), [SLIDING["port_scan"][0]()])
+    ports = F.array_join(F.from_json(meta("ports"), "array<string>"), ",")
+    return found.select("alert_type", "severity", "source_ip", "log_id", V.stamp("created_at").alias("created"), meta("unique_ports").cast("bigint").alias("peak"), ports.alias("ports"))
+
+
+@register("port_scan_tumbling", V.sql(alert_rows(D.port_scan(5, 12 * 3600).replace("FROM x", f"""FROM (
+  SELECT * REPLACE (time_bucket(INTERVAL '{12 * 3600} seconds', ets) + INTERVAL '{12 * 3600} seconds' AS cycle) FROM x) AS x"""))))
+def port_scan_tumbling(spark, sf):
+    return shown(SL.tumbling_alerts(V.logs(spark, sf), [network.port_scan(5, 12 * 3600)]))
+
+
 @register("brute_force_success", V.sql(alert_rows(D.brute_force_success(2, 2 * DAY)), None))
 def brute_force_success(spark, sf):
     return shown(SQ.brute_force_success(V.logs(spark, sf, None), 2, 2 * DAY, slice_seconds=3 * DAY))
@@ -684,6 +745,26 @@ for _name, _rule, _sql in zip(
     register(_name, V.sql(alert_rows(_sql)))(_rule_query(_rule))
 
 
+# Thresholds in event time: a look back over earlier cycles.
+
+
+def _rolling_rule(least: int, timeframe: str) -> Rule:
+    d = DEFAULT_RULES[1]
+    count = {**d["logic"]["count"], "threshold": least, "timeframe": timeframe}
+    return Rule.from_dict({**d, "logic": {**d["logic"], "count": count}})
+
+
+@register("rule_brute_force_rolling", V.sql(alert_rows(D.rule_brute_force_rolling(DEFAULT_RULES[1], 3, 20 * V.HOUR)), V.HOUR))
+def rule_brute_force_rolling(spark, sf):
+    return shown(rule_alerts(V.logs(spark, sf, V.HOUR), [_rolling_rule(3, "20h")], rolling=True))
+
+
+@register("rule_brute_force_minutes", V.sql(alert_rows(D.rule_brute_force_rolling(DEFAULT_RULES[1], 4, 3 * DAY)), 60))
+def rule_brute_force_minutes(spark, sf):
+    """Cycles of a minute under a timeframe of three days."""
+    return shown(rule_alerts(V.logs(spark, sf, 60), [_rolling_rule(4, "3d")], rolling=True))
+
+
 # --- the whole cycle and the reports on it --------------------------------------------------
 
 _ALL = [
@@ -949,12 +1030,18 @@ def cycle_totals(spark, sf):
     return reports.cycle_totals(reports.cycle_metrics(alerts(spark, sf), V.logs(spark, sf)))
 
 
-@register(
-    "alerts_by_priority",
-    _cycle_sql("SELECT id, priority_score, created, row_number() OVER (ORDER BY priority_score DESC, created_at, id) AS place FROM alerts QUALIFY place <= 500"),
-)
+_BY_PRIORITY = "SELECT id, priority_score, created, row_number() OVER (ORDER BY priority_score DESC, created_at, id) AS place FROM alerts"
+
+
+@register("alerts_by_priority", _cycle_sql(_BY_PRIORITY))
 def alerts_by_priority(spark, sf):
-    """The first page of 500 in the order in which alerts are shown."""
+    """Every alert with its place in the order in which alerts are shown."""
+    return detect.with_place(alerts(spark, sf)).select("id", "priority_score", V.stamp("created_at").alias("created"), "place")
+
+
+@register("alert_page", _cycle_sql(f"{_BY_PRIORITY} QUALIFY place <= 500"))
+def alert_page(spark, sf):
+    """The first page of 500."""
     page = detect.by_priority(alerts(spark, sf)).limit(500)
     order = Window.orderBy(F.desc("priority_score"), "created_at", "id")  # over the page only
     return page.select("id", "priority_score", V.stamp("created_at").alias("created"), F.row_number().over(order).alias("place"))
@@ -992,26 +1079,22 @@ def stream_cycle_alerts(spark, sf):
     return shown(T.read_cycle_alerts(spark, f"{out}/alerts"), False)
 
 
-@register(
-    "stream_windowed_counts",
-    V.sql(f"""SELECT {V.sql_stamp('s')} AS start, source_ip, n FROM (
-  SELECT time_bucket(INTERVAL '{DAY} seconds', ingestion_time) AS s, source_ip, count(*) AS n FROM x GROUP BY 1, 2)
-WHERE s + INTERVAL '{DAY} seconds' <= (SELECT max(ingestion_time) - INTERVAL 2 MINUTES FROM x)"""),
-)
+_WINDOWED = V.sql(f"""SELECT {V.sql_stamp('s')} AS start, source_ip, n FROM (
+  SELECT time_bucket(INTERVAL '{DAY} seconds', ingestion_time) AS s, source_ip, count(*) AS n FROM x GROUP BY 1, 2)""")
+
+
+@register("stream_windowed_counts", _WINDOWED)
 def stream_windowed_counts(spark, sf):
+    """The counts of all windows, also of those that the watermark has not passed, in one micro-batch."""
     out = T.new_folder(spark, "stream-counts")
     counts = C.windowed_counts(X.prepare(event_stream(spark, sf)), "source_ip", DAY)
-    C.write_files(counts, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{out}/rows").select(V.stamp("start").alias("start"), "source_ip", "n")
+    C.save_changes(counts, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    return C.latest_counts(spark, f"{out}/rows", "source_ip").select(V.stamp("start").alias("start"), "source_ip", "n")
 
 
-@register(
-    "stream_all_windowed_counts",
-    V.sql(f"""SELECT {V.sql_stamp('s')} AS start, source_ip, n FROM (
-  SELECT time_bucket(INTERVAL '{DAY} seconds', ingestion_time) AS s, source_ip, count(*) AS n FROM x GROUP BY 1, 2)"""),
-)
+@register("stream_all_windowed_counts", _WINDOWED)
 def stream_all_windowed_counts(spark, sf):
-    """The counts of all windows, also of those that the watermark has not passed."""
+    """The same from three files in two micro-batches."""
     out = T.new_folder(spark, "stream-all-counts")
     counts = C.windowed_counts(X.prepare(_in_parts(spark, sf, out)), "source_ip", DAY)
     C.save_changes(counts, f"{out}/rows", f"{out}/checkpoint").awaitTermination()

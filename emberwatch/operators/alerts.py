@@ -38,9 +38,10 @@ def to_alerts(
     log_id, source_ip, dest_ip, user, host, rule = (
         none if c is None else c for c in (log_id, source_ip, dest_ip, user, host, rule)
     )
-    identity = [method, alert_type, rule, log_id, source_ip, dest_ip, user, F.col(cycle).cast("string")]
+    identity = [F.coalesce(c, F.lit("")) for c in (method, alert_type, rule, log_id, source_ip, dest_ip, user, F.col(cycle).cast("string"))]
+    lengths = [F.length(c).cast("string") for c in identity]  # so that no two hits read the same, whatever their texts hold
     return df.select(
-        F.sha2(F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in identity]), 256).alias("id"),
+        F.sha2(F.concat_ws("|", *lengths, *identity), 256).alias("id"),
         log_id.alias("log_id"),
         alert_type.alias("alert_type"),
         method.alias("detection_method"),

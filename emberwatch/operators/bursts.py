@@ -50,7 +50,8 @@ class Burst:
     with_log: bool = True
 
 
-def _tallies(logs: DataFrame, bursts: Iterable[Burst]) -> DataFrame:
+def tallies(logs: DataFrame, bursts: Iterable[Burst]) -> DataFrame:
+    """A row for each log row and spec that applies: cycle, ets, id, host, kind, k1, k2, value, amount."""
     text = F.lit(None).cast("string")
     rows = [
         F.when(
@@ -72,7 +73,7 @@ def tally(logs: DataFrame, bursts: list[Burst]) -> DataFrame:
     """One row per (cycle, kind, k1, k2): n, distinct_n, amount, first, last and listed values."""
     group = ["cycle", "kind", "k1", "k2"]
     per_value = (
-        _tallies(logs, bursts)
+        tallies(logs, bursts)
         .groupBy(*group, "value")
         .agg(
             F.count(F.lit(1)).alias("n"),
@@ -127,12 +128,17 @@ def burst_members(logs: DataFrame, bursts: list[Burst]) -> DataFrame:
     group = ["cycle", "kind", "k1", "k2"]
     listing = [b for b in bursts if b.value is not None]
     reached = tally(logs, [replace(b, list_limit=0) for b in listing]).filter(reduce(lambda a, b: a | b, [_reached(b) for b in listing]))
-    values = _tallies(logs, listing).filter("value IS NOT NULL").groupBy(*group, "value").agg(F.count(F.lit(1)).alias("n"))
+    values = tallies(logs, listing).filter("value IS NOT NULL").groupBy(*group, "value").agg(F.count(F.lit(1)).alias("n"))
     return values.join(reached.select(*group), group, "left_semi")
 
 
 def burst_alerts(logs: DataFrame, bursts: list[Burst]) -> DataFrame:
     """Alert rows for every spec, from one pass over the prepared logs."""
+    return alerts_of(tally(logs, bursts).filter(reduce(lambda a, b: a | b, [_reached(b) for b in bursts])), bursts)
+
+
+def alerts_of(hits: DataFrame, bursts: list[Burst]) -> DataFrame:
+    """Groups with the columns of ``tally`` as alert rows."""
 
     def per_kind(part: Callable[[Burst], Column | None]) -> Column:
         parts = [(b.alert_type, part(b)) for b in bursts]
@@ -142,7 +148,6 @@ def burst_alerts(logs: DataFrame, bursts: list[Burst]) -> DataFrame:
     def entity(name: str) -> Column:
         return per_kind(lambda b: F.col(b.entity[name]) if name in b.entity else None)
 
-    hits = tally(logs, bursts).filter(reduce(lambda a, b: a | b, [_reached(b) for b in bursts]))
     hits = hits.withColumn(
         "vals", per_kind(lambda b: F.slice("vals", 1, b.list_limit) if b.list_limit else F.col("vals"))
     )

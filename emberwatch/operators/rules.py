@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from emberwatch.functions import fields as X
 from emberwatch.functions.scores import PRIORITY_WEIGHTS
 from emberwatch.operators.alerts import payload, to_alerts, union_alerts, unpack
+from emberwatch.operators.ordered import running
 from emberwatch.schema import LOG_COLUMNS
 
 METHOD = "rule_engine"
@@ -101,22 +102,43 @@ def selection(criteria: dict[str, Any]) -> Column:
     return ok
 
 
+def _recent(logs: DataFrame, by: str, seconds: int) -> DataFrame:
+    """Rows with a ``by`` value (``g``) whose event time is within ``seconds`` of the end of their cycle."""
+    return logs.withColumn("g", X.non_empty(field_value(by))).filter(
+        F.col("g").isNotNull() & F.expr(f"cycle - ts <= INTERVAL {seconds} SECONDS")
+    )
+
+
 def recent_groups(logs: DataFrame, by: str, threshold: int, timeframe: str) -> DataFrame:
     """Rows of the last ``timeframe`` of their cycle whose ``by`` value occurs often enough there.
 
     The groups are counted with map-side combining and joined back as a semi-join, so a value that
     holds most rows is never gathered in one task.
     """
-    window = timeframe_seconds(timeframe)
-    recent = logs.withColumn("g", X.non_empty(field_value(by))).filter(
-        F.col("g").isNotNull() & F.expr(f"cycle - ts <= INTERVAL {window} SECONDS")
-    )
+    recent = _recent(logs, by, timeframe_seconds(timeframe))
     groups = recent.groupBy("cycle", "g").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= threshold)
     return recent.join(groups.select("cycle", "g"), ["cycle", "g"], "left_semi").drop("g")
 
 
-def rule_rows(logs: DataFrame, rule: Rule) -> DataFrame:
-    logic = rule.logic
+def rolling_groups(logs: DataFrame, by: str, threshold: int, timeframe: str) -> DataFrame:
+    """As ``recent_groups``, but rows of earlier cycles count too while they are within ``timeframe`` of the cycle's end.
+
+    So a timeframe of five minutes means five minutes with cycles of one minute, too. A row is reported in its own cycle
+    only. A row adds to its group when its cycle ends and leaves when the timeframe has passed; the counts are running sums
+    of these changes (``ordered``), so no row is copied into the cycles that still see it, however long the timeframe.
+    """
+    seconds = timeframe_seconds(timeframe)
+    recent = _recent(logs, by, seconds)
+    came = recent.select("g", F.unix_micros("cycle").alias("at"), F.lit(0).alias("phase"), F.lit(1).cast("long").alias("change"))
+    left = recent.select("g", (F.unix_micros("ts") + 1_000_000 * seconds).alias("at"), F.lit(1).alias("phase"), F.lit(-1).cast("long").alias("change"))
+    moments = came.unionByName(left).groupBy("g", "at", "phase").agg(F.sum("change").alias("change"))
+    counts = running(moments, ["g"], ["at", "phase"], ["change"]).where("phase = 0")
+    groups = counts.where(F.col("sum_change") >= threshold).select(F.timestamp_micros("at").alias("cycle"), "g")
+    return recent.join(groups, ["cycle", "g"], "left_semi").drop("g")
+
+
+def rule_rows(logs: DataFrame, rule: Rule, rolling: bool = False) -> DataFrame:
+    logic, groups = rule.logic, rolling_groups if rolling else recent_groups
     rows = logs.filter(selection(logic["selection"])) if "selection" in logic else logs
     for term in str(logic.get("condition", "selection")).split(" and "):
         if term == "selection":
@@ -126,10 +148,16 @@ def rule_rows(logs: DataFrame, rule: Rule) -> DataFrame:
         spec = logic.get(term) or {}
         if spec.get("field"):
             least = spec.get("threshold" if term == "count" else "min_connections", 0)
-            rows = recent_groups(rows, spec["field"], least, spec.get("timeframe", "5m" if term == "count" else "10m"))
+            rows = groups(rows, spec["field"], least, spec.get("timeframe", "5m" if term == "count" else "10m"))
     return rows
 
 
+def look_back(rules: list[Rule]) -> int:
+    """Seconds that the longest timeframe of these rules spans."""
+    spans = [spec.get("timeframe", default) for r in rules for term, default in (("count", "5m"), ("frequency", "10m")) if (spec := r.logic.get(term))]
+    return max(map(timeframe_seconds, spans), default=0)
+
+
 def is_row_rule(rule: Rule) -> bool:
     return str(rule.logic.get("condition", "selection")).strip() == "selection"
 
@@ -177,8 +205,11 @@ def _to_alerts(hits: DataFrame) -> DataFrame:
     )
 
 
-def rule_alerts(logs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Alerts of all enabled rules; the rules without thresholds share one pass over the logs."""
+def rule_alerts(logs: DataFrame, rules: list[Rule], rolling: bool = False) -> DataFrame:
+    """Alerts of all enabled rules; the rules without thresholds share one pass over the logs.
+
+    With ``rolling`` thresholds count rows of earlier cycles, see ``rolling_groups``; else each cycle counts for itself.
+    """
     active = [r for r in rules if r.enabled]
     plain = [r for r in active if is_row_rule(r)]
     parts = []
@@ -190,5 +221,5 @@ def rule_alerts(logs: DataFrame, rules: list[Rule]) -> DataFrame:
         parts.append(_to_alerts(unpack(logs, RULE_INPUT, tests)))
     for r in active:
         if r not in plain:
-            parts.append(_to_alerts(unpack(rule_rows(logs, r), RULE_INPUT, _rule_table([r]))))
+            parts.append(_to_alerts(unpack(rule_rows(logs, r, rolling), RULE_INPUT, _rule_table([r]))))
     return union_alerts(parts)

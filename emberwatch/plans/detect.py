@@ -16,6 +16,7 @@ from emberwatch.operators.alerts import union_alerts
 from emberwatch.operators.baselines import baselines
 from emberwatch.operators.bursts import Burst, burst_alerts
 from emberwatch.operators.intel import threat_intel_alerts
+from emberwatch.operators.ordered import running
 from emberwatch.operators.rules import Rule, rule_alerts
 from emberwatch.operators.sequences import brute_force_success, privilege_escalation
 from emberwatch.operators.signatures import Signature, blocked_ip_alerts, hash_alerts, hash_frame, signature_alerts
@@ -106,6 +107,16 @@ def by_priority(alerts: DataFrame) -> DataFrame:
     return alerts.orderBy(F.desc("priority_score"), "created_at", "id")
 
 
+def with_place(alerts: DataFrame) -> DataFrame:
+    """All alerts with ``place``, from 1, in the order of ``by_priority``.
+
+    Places are counted inside parts of the order and carried over them, so no task sees all alerts.
+    """
+    keyed = alerts.withColumns({"_all": F.lit(0), "_below": -F.col("priority_score"), "_one": F.lit(1)})
+    placed = running(keyed, ["_all"], ["_below", "created_at", "id"], ["_one"])
+    return placed.withColumnRenamed("sum__one", "place").drop("_all", "_below", "_one")
+
+
 def run(logs: DataFrame, k: Knowledge, extra: dict[str, Detector] | None = None) -> DataFrame:
     """Alerts of all detectors (and of the caller's own), scored and de-duplicated."""
     found = {**detectors(k), **(extra or {})}

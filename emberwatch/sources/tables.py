@@ -36,6 +36,14 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def partition_values(spark: SparkSession, path: str, column: str) -> list[str]:
+    """The values of a table's first partition column, by one listing of its folder; none where it doesn't exist."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
+    return [n.partition("=")[2] for n in names if n.startswith(f"{column}=")]
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """A frame straight from a scan, redistributed if it has fewer partitions than there are cores.
 
@@ -223,7 +231,7 @@ def replace_cycles(alerts: DataFrame, cycles: list[datetime], path: str) -> None
     marks = spark.createDataFrame([(c,) for c in cycles], "created_at timestamp")
     key = F.unix_timestamp("created_at").alias("cycle_end")
     rows = _stored_form(alerts).drop("created_date").unionByName(marks, allowMissingColumns=True)
-    rows = rows.select("*", key).repartition("cycle_end")
+    rows = rows.select("*", key).hint("rebalance", F.col("cycle_end"))  # a cycle of many alerts is split
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cycle_end").parquet(path)
 
 

@@ -19,7 +19,7 @@ TABLES = (
 ).split()
 
 
-def session(cores: str = "8"):
+def session(cores: str = os.environ.get("BENCH_CPUS", "8")):
     from pyspark.sql import SparkSession
 
     spark = (

@@ -1,16 +1,19 @@
 import random
 import re
+from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import AS_OF, log
+from conftest import AS_OF, T0, log
+from emberwatch.functions import fields as X
 from emberwatch.functions.literals import needed
 from emberwatch.operators import baselines as B
 from emberwatch.operators import profiles as PR
 from emberwatch.operators.rules import Rule, rule_alerts, selection, timeframe_seconds
 from emberwatch.operators.signatures import Signature, blocked_ip_alerts, hash_alerts, hash_frame, signature_alerts, split_patterns
 from emberwatch.plans import anomaly, detect
+from emberwatch.schema import LOG_SCHEMA
 from emberwatch.sources.default_rules import DEFAULT_RULES
 from emberwatch.sources.default_signatures import DEFAULT_SIGNATURES
 
@@ -142,3 +145,30 @@ def test_deduplication(spark):
     rows = [alert(1, "low"), alert(2, "critical"), alert(3, "critical", method="signature_detector"), alert(4, "low", "h")]
     frame = detect.deduplicate(detect.prioritise(spark.createDataFrame(rows, ALERT_SCHEMA)))
     assert sorted((r["id"], r["priority_score"]) for r in frame.collect()) == [("3", 100.0), ("4", 25.0)]
+
+
+@pytest.mark.parametrize("cycle", [60, 600])
+def test_rolling_rules_equal_plain_counts(spark, cycle):
+    """Thresholds look back over cycles; most rows are of one source inside a few seconds."""
+    draw = random.Random(cycle)
+    rows = []
+    for i in range(250):
+        ip, at = ("hot", draw.choice([3, 4, 5, 900 + draw.randrange(900)])) if draw.random() < 0.7 else (draw.choice("abc"), draw.randrange(3000))
+        late = draw.choice([0, 1, 20, 400])
+        rows.append((f"{i:03d}", ip, at, at + late))
+    data = [log(i, s, "login failed", {"source_ip": ip}, ingestion_time=T0 + timedelta(seconds=arrived)) for i, ip, s, arrived in rows]
+    logs = spark.createDataFrame([tuple(d.get(n) for n in LOG_SCHEMA.fieldNames()) for d in data], LOG_SCHEMA)
+    frame = X.in_cycles(X.prepare(logs), AS_OF, cycle)
+    end = lambda arrived: (arrived // cycle + 1) * cycle
+    for least, minutes in ((3, 5), (10, 10), (60, 1)):
+        count = {"field": "source_ip", "threshold": least, "timeframe": f"{minutes}m"}
+        rule = Rule("R", "r", logic={"selection": {"event_type": "login_failed"}, "condition": "selection and count", "count": count})
+        want = []
+        for i, ip, at, arrived in rows:
+            c = end(arrived)
+            seen = [1 for _, other, t, a in rows if other == ip and end(a) <= c and c - t <= 60 * minutes and end(a) - t <= 60 * minutes]
+            if c - at <= 60 * minutes and len(seen) >= least:
+                want.append(i)
+        got = sorted(r.log_id for r in rule_alerts(frame, [rule], rolling=True).collect())
+        assert got == sorted(want)
+    assert rule_alerts(frame.limit(0), [rule], rolling=True).count() == 0

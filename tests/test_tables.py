@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from conftest import AS_OF, T0, log
 from emberwatch.functions import fields as X
 from emberwatch.operators.signatures import blocked_ip_alerts
-from emberwatch.plans import heuristic, reports
+from emberwatch.plans import detect, heuristic, reports
 from emberwatch.schema import ALERT_SCHEMA, LOG_SCHEMA, THREAT_INTEL_SCHEMA
 from emberwatch.sources import catalogs
 from emberwatch.sources import tables as T
@@ -132,6 +132,60 @@ def test_stream_cycles_may_be_split_and_quiet(spark, tmp_path):
     assert [m["logs"] for m in metrics] == [2, 2, 2, 1] and metrics[-1]["alerts"] == 0
 
 
+@pytest.mark.parametrize("files", [1, 3])
+def test_rolling_rules_in_a_stream_equal_one_batch(spark, tmp_path, files):
+    """Cycles of a minute under a timeframe of five; the last file brings late rows that later cycles look back on."""
+    from emberwatch.operators.rules import Rule, look_back, rule_alerts
+
+    rule = Rule("R", "many failures", logic={"selection": {"event_type": "login_failed"}, "condition": "selection and count", "count": {"field": "source_ip", "threshold": 4, "timeframe": "5m"}})
+    at = lambda i, ip, s: log(i, s, "login failed", {"source_ip": ip}, ingestion_time=T0 + timedelta(seconds=s + 1))
+    rows = [at(i, "a", s) for i, s in enumerate((0, 70, 130, 250, 290, 700, 760, 1500))] + [at(f"b{i}", "b", 61 * i) for i in range(9)]
+    late = [at("late", "a", 705), at("later", "a", 640)]
+    parts = [rows + late] if files == 1 else [rows[:6] + rows[8:12], rows[6:8] + rows[12:], late]
+    for n, part in enumerate(parts):
+        frame(spark, part).coalesce(1).write.parquet(f"{tmp_path}/in/part={n}")
+    query = C.run_cycles(
+        C.read_stream(spark, f"{tmp_path}/in/*", LOG_SCHEMA, max_files=1), lambda _: {}, f"{tmp_path}/alerts", f"{tmp_path}/check",
+        rolling=lambda _: {"rules": lambda d: rule_alerts(d, [rule], rolling=True)}, look_back_seconds=look_back([rule]),
+    )
+    assert C.run_for(query, 240)
+    whole = X.in_cycles(X.prepare(frame(spark, rows + late)), AS_OF, 60)
+    batch = detect.deduplicate(rule_alerts(whole, [rule], rolling=True))
+    want = sorted(r.id for r in batch.collect())
+    assert sorted(r.id for r in T.read_cycle_alerts(spark, f"{tmp_path}/alerts").collect()) == want and len(want) >= 8
+    assert detect.deduplicate(rule_alerts(whole, [rule])).count() < len(want)
+
+
+def test_the_stream_store_is_laid_out_by_cycle(spark, tmp_path):
+    for n in range(3):
+        frame(spark, [log(f"{n}-{i}", 0, "x", ingestion_time=T0 + timedelta(seconds=60 * i)) for i in range(n, n + 2)]).coalesce(1).write.parquet(f"{tmp_path}/in/part={n}")
+    query = C.run_cycles(
+        C.read_stream(spark, f"{tmp_path}/in/*", LOG_SCHEMA, max_files=1), lambda _: {}, f"{tmp_path}/alerts", f"{tmp_path}/check"
+    )
+    assert C.run_for(query, 120)
+    (store,) = (tmp_path / "alerts-logs").iterdir()
+    cycles = sorted(store.glob("cycle_end=*"))
+    assert [sorted(b.name for b in c.glob("batch=*")) for c in cycles] == [["batch=0"], ["batch=0", "batch=1"], ["batch=1", "batch=2"], ["batch=2"]]
+    assert sorted(T.partition_values(spark, str(store), "cycle_end")) == [c.name.partition("=")[2] for c in cycles]
+    assert T.partition_values(spark, str(tmp_path / "none"), "cycle_end") == []
+
+
+def test_alert_ids_tell_texts_apart(spark):
+    from emberwatch.operators.alerts import to_alerts
+
+    rows = [("a|b", "c"), ("a", "b|c"), ("a", None), ("", "a"), ("a|", "b"), ("1|a", "b"), ("é", "c")]
+    hits = spark.createDataFrame([(*r, T0) for r in rows], "s string, d string, cycle timestamp")
+    alerts = to_alerts(hits, method="m", alert_type=F.lit("t"), severity=F.lit("low"), description=F.lit(""), metadata=F.lit("{}"), source_ip=F.col("s"), dest_ip=F.col("d"))
+    assert alerts.select("id").distinct().count() == len(rows)
+
+
+def test_every_alert_has_its_place(spark):
+    row = lambda i: (f"{i:03d}", None, "t", "m", "low", None, None, T0 + timedelta(seconds=i % 7), False, float(i % 3), None, None, None, None)
+    alerts = spark.createDataFrame([row(i) for i in range(200)], ALERT_SCHEMA)
+    got = detect.with_place(alerts).orderBy("place").collect()
+    assert [r.place for r in got] == list(range(1, 201)) and [r.id for r in got] == [r.id for r in detect.by_priority(alerts).collect()]
+
+
 def test_append_is_idempotent(spark, tmp_path):
     row = lambda i: (str(i), None, "t", "anomaly_detection", "low", None, None, T0, False, 0.0, None, None, None, None)
     some = lambda *ids: spark.createDataFrame([row(i) for i in ids], ALERT_SCHEMA)
@@ -156,6 +210,16 @@ def test_stream_deduplication_by_gaps(spark, tmp_path, files):
     assert sorted(r["id"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["a101", "a202", "a500", "best"]
 
 
+def test_late_repeats_are_judged_by_all_that_passed(spark, tmp_path):
+    row = lambda t: (f"a{t}", None, "t", "m", "low", None, None, T0 + timedelta(seconds=t), False, 1.0, None, None, None, None)
+    for n, times in enumerate(([1000], [0, 1, 2, 950, 1050], [300, 301, 1101, 2000], [1, 250, 650])):
+        spark.createDataFrame([row(t) for t in times], ALERT_SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in/part={n}")
+    arriving = C.read_stream(spark, f"{tmp_path}/in/*", ALERT_SCHEMA, max_files=1)
+    C.write_files(C.first_of_each(arriving, "100 seconds"), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    got = sorted(int(r["id"][1:]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == [0, 300, 650, 1000, 1101, 2000]
+
+
 def test_shared_folder_is_the_sessions(spark):
     assert T.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
     assert AS_OF
