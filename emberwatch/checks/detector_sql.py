@@ -474,3 +474,15 @@ def threat_intel(as_of):
                "CASE WHEN conf >= 0.8 THEN 'critical' WHEN conf >= 0.6 THEN 'high' WHEN conf >= 0.4 THEN 'medium' ELSE 'low' END",
                "concat('Listed by a threat feed: ', type, ' ', value, ' (', threat, ')')", frm, log_id="id",
                ip="source_ip", user='"user"', host="host", rule="value")
+
+
+def threat_intel_as_of(until):
+    frm = f"""(SELECT i.*, t.* EXCLUDE (value) FROM (SELECT * FROM ({indicator_sql()}) JOIN (SELECT id, ets FROM x) USING (id)) i JOIN (
+    SELECT id AS intel_id, indicator_type, lower(trim(indicator_value)) AS value, coalesce(nullif(threat_type, ''), 'unknown') AS threat,
+           coalesce(nullif(confidence, 0), 0.5) AS conf, confidence, created_at, expires_at FROM ({INTEL})) t
+  ON t.indicator_type = i.type AND t.value = i.value AND coalesce(created_at <= ets, true) AND ets < coalesce(expires_at, TIMESTAMP '{until}')
+  QUALIFY row_number() OVER (PARTITION BY i.id, i.type, i.value ORDER BY confidence DESC NULLS LAST, created_at DESC, intel_id) = 1)"""
+    return row("concat('threat_intel_', type)", "threat_intel_matcher",
+               "CASE WHEN conf >= 0.8 THEN 'critical' WHEN conf >= 0.6 THEN 'high' WHEN conf >= 0.4 THEN 'medium' ELSE 'low' END",
+               "concat('Listed by a threat feed: ', type, ' ', value, ' (', threat, ')')", frm, log_id="id",
+               ip="source_ip", user='"user"', host="host", rule="value")

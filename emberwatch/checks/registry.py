@@ -18,7 +18,7 @@ from emberwatch.operators import sequences as SQ
 from emberwatch.operators import sliding as SL
 from emberwatch.operators.alerts import meta
 from emberwatch.operators.bursts import Burst, burst_alerts
-from emberwatch.operators.intel import active_indicators, log_indicators, threat_intel_alerts
+from emberwatch.operators.intel import active_indicators, log_indicators, threat_intel_alerts, threat_intel_as_of
 from emberwatch.operators.rules import Rule, rule_alerts
 from emberwatch.operators.signatures import blocked_ip_alerts, catalog_frame, filter_catalog, hash_alerts, signature_alerts
 from emberwatch.plans import anomaly, detect, heuristic, network, reports
@@ -300,6 +300,13 @@ def threat_intel(spark, sf):
     return shown(threat_intel_alerts(V.logs(spark, sf), intel(spark, sf), AS_OF))
 
 
+@register("threat_intel_as_of", V.sql(alert_rows(D.threat_intel_as_of(MIDDLE))))
+def threat_intel_at_its_time(spark, sf):
+    """Indicators without an end of their own end in the middle of the period."""
+    feed = intel(spark, sf).withColumn("expires_at", F.coalesce("expires_at", F.lit(MIDDLE).cast("timestamp")))
+    return shown(threat_intel_as_of(V.logs(spark, sf), feed))
+
+
 @register(
     "threat_intel_scan",
     f"""SELECT id, indicator_value FROM ({D.INTEL}) WHERE indicator_type = 'domain'

@@ -186,6 +186,30 @@ def test_every_alert_has_its_place(spark):
     assert [r.place for r in got] == list(range(1, 201)) and [r.id for r in got] == [r.id for r in detect.by_priority(alerts).collect()]
 
 
+def test_indicators_are_judged_at_the_time_of_a_log(spark, tmp_path):
+    """One expires between two batches and is listed again later with other confidence; a late log still counts."""
+    from emberwatch.operators.intel import threat_intel_as_of, validity
+
+    at = lambda s: T0 + timedelta(seconds=s)
+    listed = lambda i, since, until, c, threat="bot": (i, "ip", " 9.9.9.9 ", threat, c, "feed", since and at(since), until and at(until))
+    columns = "id string, indicator_type string, indicator_value string, threat_type string, confidence double, source string, created_at timestamp, expires_at timestamp"
+    rows = [listed("a", None, 100, 0.9), listed("b", 50, 150, 0.5), listed("c", 300, None, 0.7), listed("d", 320, 340, 0.8), listed("e", 10, 10, 1.0), listed("f", 60, 20, 1.0)]
+    feed = spark.createDataFrame(rows, columns)
+    spans = {(r.since, r.until): r.intel_id for r in validity(feed).collect()}
+    assert sorted(spans.values()) == ["a", "a", "b", "c", "c", "d"] and spans[at(100), at(150)] == "b" and spans[at(320), at(340)] == "d"
+    logs = [log(str(s), s, "x", {"source_ip": "9.9.9.9"}, ingestion_time=at(s + 5)) for s in (0, 99, 100, 149, 150, 299, 300, 330, 340, 900)]
+    for n, part in enumerate((logs[:2], logs[3:7], logs[7:] + logs[2:3])):
+        frame(spark, part).coalesce(1).write.parquet(f"{tmp_path}/in/part={n}")
+    query = C.run_cycles(
+        C.read_stream(spark, f"{tmp_path}/in/*", LOG_SCHEMA, max_files=1), lambda _: {"intel": lambda d: threat_intel_as_of(d, feed)}, f"{tmp_path}/alerts", f"{tmp_path}/check", cycle_seconds=1
+    )
+    assert C.run_for(query, 240)
+    got = {r.log_id: r.severity for r in T.read_cycle_alerts(spark, f"{tmp_path}/alerts").collect()}
+    assert got == {"0": "critical", "99": "critical", "100": "medium", "149": "medium", "300": "high", "330": "critical", "340": "high", "900": "high"}
+    whole = X.in_cycles(X.prepare(frame(spark, logs)), AS_OF)
+    assert threat_intel_as_of(whole, feed).count() == len(got)
+
+
 def test_append_is_idempotent(spark, tmp_path):
     row = lambda i: (str(i), None, "t", "anomaly_detection", "low", None, None, T0, False, 0.0, None, None, None, None)
     some = lambda *ids: spark.createDataFrame([row(i) for i in ids], ALERT_SCHEMA)
