@@ -3,16 +3,18 @@
 A word's input is its own embedding plus the mean of those of its character n-grams. A text is cut into windows of
 ``WINDOW`` words that overlap; every window is scored, and the highest decides. The label belongs to the
 text, so training takes, for a toxic text, the window that scores highest at the time, and for a clean text its
-highest and a random one.
+highest and a random one. The network is fitted in one task, on a bounded sample; only the network reaches the driver.
 """
 
 from __future__ import annotations
 
+import pickle
+import random
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberwatch.llm.common import shipped
@@ -26,6 +28,8 @@ LEAST_TEXTS = 4
 #: Toxic rows that training takes at most, by order of a hash; of clean rows it takes up to twice as many.
 TRAIN_ROWS = 1500
 EPOCHS = 6
+#: Windows that training draws from a text at most; scores always see all windows.
+TRAIN_WINDOWS = 256
 #: Words whose inputs a worker keeps; then it starts anew.
 KEPT_WORDS = 300_000
 
@@ -403,28 +407,63 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[list[str], list[int]]:
-    """Texts and labels of rows that aren't held out, the first by a hash: ``most`` toxic ones, twice that of the clean."""
+def drawn(text: str | None, most: int = TRAIN_WINDOWS) -> str:
+    """A text for training: whole up to ``most`` windows, else so many windows drawn at random, in their order."""
+    words = (text or "").split()
+    if len(words) < WINDOW + most * STRIDE:
+        return text or ""
+    starts = sorted(random.Random(len(words)).sample(range(0, len(words) - WINDOW + 1, STRIDE), most))
+    return " ".join(w for s in starts for w in words[s : s + WINDOW])
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
+    """Rows (doc_id, text, toxic) that aren't held out, the first by a hash: ``most`` toxic ones, twice that of the clean."""
     usable = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     by_hash = [F.xxhash64(F.lit(11), F.col("doc_id")), "doc_id"]
     chosen = [usable.where(f"toxic = {c}").orderBy(*by_hash).limit(most * (2 - c)) for c in (0, 1)]
     chosen = F.broadcast(chosen[0].union(chosen[1]))  # at most three times ``most`` rows
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id").orderBy("doc_id", "text").collect()
-    return [r.text or "" for r in rows], [r.toxic for r in rows]
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.array([drawn(t.as_py()) for t in batch.column("text")], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), texts, batch.column("toxic")], ["doc_id", "text", "toxic"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
+    rows = rows.mapInArrow(draw, "doc_id long, text string, toxic int")
+    # Rows that repeat a chosen id would be without bound: of each id the first texts by a hash count.
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+    return rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+
+
+def fitted(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[Network | None, float]:
+    """The network fitted to ``training_rows`` by one task, and the share of toxic rows among them."""
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: list[str] = []
+        toxic: list[int] = []
+        for batch in batches:
+            texts += batch.column("text").to_pylist()
+            toxic += batch.column("toxic").to_pylist()
+        if texts:
+            net = train(texts, toxic)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary()), pa.array([float(np.mean(toxic))])], ["net", "share"])
+
+    shipped(docs.sparkSession)
+    rows = training_rows(docs, labels, most).repartition(1).sortWithinPartitions("doc_id")
+    made = rows.mapInArrow(fit, "net binary, share double").collect()  # a few MB
+    return (pickle.loads(made[0].net), made[0].share) if made else (None, 0.0)
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, most: int = TRAIN_ROWS) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, held_out, score and predicted (1 if the score reaches ``threshold``).
 
-    Learns from ``labels`` (doc_id, toxic) of rows that aren't held out, see ``training_rows``; without rows of
+    Learns from ``labels`` (doc_id, toxic) of rows that aren't held out, see ``training_rows`` and ``drawn``; without rows of
     both classes the score is the share of toxic rows (0 without any). Only the text is an input. Null texts count as
     empty; a text without words has no window and scores 0. Null and repeated ids are rows like others.
     An empty table gives an empty result. Other columns are ignored.
     """
-    texts, toxic = training_rows(docs, labels, most)
-    net = train(texts, toxic)
-    constant = float(np.mean(toxic)) if toxic else 0.0
+    net, constant = fitted(docs, labels, most)
     model = shipped(docs.sparkSession).sparkContext.broadcast(net)  # a few MB, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
