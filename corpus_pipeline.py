@@ -69,7 +69,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shards of all documents that pass, see ``STAGES``; a stage's result is written and read by the next."""
+    """The shards of all documents that pass, see ``STAGES``; a stage's result is written and read by the next.
+
+    Texts that are null or empty pass every stage; whole texts are judged, whatever their length. Of repeated rows one
+    stays. Without labels nothing is toxic, without a benchmark nothing leaks, and without documents there are no rows.
+    Extra columns of the documents are carried through all stages but the last, whatever their names.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
