@@ -61,6 +61,30 @@ def burst(
     )
 
 
+def members(kind, when, k1, threshold, value, measure="d", seconds=None, k2="''") -> str:
+    """Every value of the groups that alert, with its count."""
+    span = f"AND hi - lo <= INTERVAL '{seconds} seconds'" if seconds else ""
+    return f"""SELECT '{kind}' AS kind, cycle, k1, k2, value, count(*) AS n FROM (
+  SELECT *, count(*) OVER g AS rows_, count(DISTINCT value) OVER g AS d, min(ets) OVER g AS lo, max(ets) OVER g AS hi
+  FROM (SELECT cycle, ets, {k1} AS k1, {k2} AS k2, CAST({value} AS VARCHAR) AS value FROM x WHERE {when}) WHERE k1 IS NOT NULL
+  WINDOW g AS (PARTITION BY cycle, k1, k2))
+WHERE {'rows_' if measure == 'n' else 'd'} >= {threshold} {span} AND value IS NOT NULL GROUP BY cycle, k1, k2, value"""
+
+
+def all_members() -> str:
+    """``members`` of every detector that lists values, with the thresholds of the registered bursts."""
+    day, text = 86400, "coalesce(nullif(message, ''), raw)"
+    word = "CASE " + " ".join(f"WHEN contains({text}, '{w}') THEN '{w}'" for w in P.SUSPICIOUS_COMMANDS) + " END"
+    ip, user = f"coalesce({IP}, 'unknown')", f"coalesce({USER}, 'unknown')"
+    return " UNION ALL ".join([
+        members("port_scan_detected", f"{DEST} IS NOT NULL", IP, 10, DEST),
+        members("lateral_movement", f"({IP} IS NOT NULL OR {USER} IS NOT NULL)", ip, 3, "nullif(host, '')", seconds=day, k2=user),
+        members("suspicious_command_sequence", any_word(text, P.SUSPICIOUS_COMMANDS), ip, 2, word, "n", day, user),
+        members("port_scan", f"{NETWORK} AND {PORT} IS NOT NULL", IP, 8, PORT, seconds=day),
+        members("ddos_attack", NETWORK, f"nullif({js('dest_ip')}, '')", 4, IP, "n", day),
+    ])
+
+
 def sliding(kind, when, k1, threshold, measure, seconds, k2="''", value="NULL", amount="0") -> str:
     """Stretches of moments at which the measure of the last ``seconds`` reaches the threshold."""
     over = f"OVER (PARTITION BY k1, k2 ORDER BY ets RANGE BETWEEN INTERVAL {seconds} SECONDS PRECEDING AND CURRENT ROW)"

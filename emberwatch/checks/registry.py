@@ -561,6 +561,13 @@ def burst_members(spark, sf):
     return members.select(V.stamp("cycle").alias("created"), F.col("k1").alias("source_ip"), F.col("value").alias("port"), "n")
 
 
+@register("all_burst_members", V.sql(f"SELECT * REPLACE ({V.sql_stamp('cycle')} AS cycle) FROM ({D.all_members()})"))
+def all_burst_members(spark, sf):
+    """What every listing detector's alerts hold, however long; the alerts themselves list the first values."""
+    members = BU.burst_members(V.logs(spark, sf), [make() for make, _ in BURSTS.values()])
+    return members.withColumn("cycle", V.stamp("cycle"))
+
+
 # Bursts in event time. The same thresholds over windows that slide, so that cycles play no part.
 SLIDING = {
     "port_scan": (lambda: network.port_scan(5, DAY), D.sliding("port_scan", f"{D.NETWORK} AND {D.PORT} IS NOT NULL", D.IP, 5, "distinct", DAY, value=D.PORT)),

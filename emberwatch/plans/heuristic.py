@@ -34,7 +34,6 @@ def lateral_movement(min_hosts: int = 5, window_seconds: int = 900) -> Burst:
         measure="distinct",
         threshold=min_hosts,
         window_seconds=window_seconds,
-        list_limit=None,
         describe=F.concat(
             F.lit("One user on many machines: "),
             F.col("distinct_n").cast("string"),
