@@ -6,6 +6,8 @@ import re
 from collections.abc import Iterable
 from dataclasses import dataclass
 
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,18 +36,26 @@ class Signature:
     file: str = ""
 
 
+def pattern_error(pattern: str) -> str | None:
+    """Why a pattern cannot run: judged by the engine that will run it, or by Python's where no session is active."""
+    context = SparkContext._active_spark_context
+    try:
+        if context is None:
+            re.compile(pattern)
+        else:
+            context._jvm.java.util.regex.Pattern.compile(f"{FLAGS}(?:{pattern})")
+    except (re.error, IllegalArgumentException) as e:
+        return str(e)
+    return None
+
+
 def split_patterns(signatures: Iterable[Signature]) -> tuple[list[Signature], list[tuple[str, str, str]]]:
     """Signatures with their usable patterns, and (signature, pattern, error) of the rejected ones."""
     good, bad = [], []
     for s in signatures:
-        usable = []
-        for p in s.patterns:
-            try:
-                re.compile(p)
-                usable.append(p)
-            except re.error as e:
-                bad.append((s.id, p, str(e)))
-        good.append(Signature(**{**s.__dict__, "patterns": tuple(usable)}))
+        errors = {p: pattern_error(p) for p in s.patterns}
+        bad += [(s.id, p, e) for p, e in errors.items() if e is not None]
+        good.append(Signature(**{**s.__dict__, "patterns": tuple(p for p in s.patterns if errors[p] is None)}))
     return good, bad
 
 

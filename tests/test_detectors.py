@@ -172,3 +172,38 @@ def test_rolling_rules_equal_plain_counts(spark, cycle):
         got = sorted(r.log_id for r in rule_alerts(frame, [rule], rolling=True).collect())
         assert got == sorted(want)
     assert rule_alerts(frame.limit(0), [rule], rolling=True).count() == 0
+
+
+def test_patterns_are_judged_by_the_engine_that_runs_them(prepared, spark):
+    """One that only Python reads is rejected alone; one that only Java reads is used."""
+    good, bad = split_patterns([Signature("s", "n", "low", "c", "d", (r"(?P<u>root)", r"\p{Lu}{3}\d+x", "(broken", "plain"))])
+    assert good[0].patterns == (r"\p{Lu}{3}\d+x", "plain") and [b[1] for b in bad] == [r"(?P<u>root)", "(broken"]
+    frame = prepared([log("1", 0, "see ABC77x"), log("2", 0, "root"), log("3", 0, "a plain one")])
+    assert sorted(r.log_id for r in signature_alerts(frame, good).collect()) == ["1", "3"]
+
+
+def test_signatures_added_between_two_batches_count(spark, tmp_path):
+    """The catalog is read anew in every micro-batch."""
+    from emberwatch.sources import catalogs
+    from emberwatch.streaming import cycles as C
+
+    pytest.importorskip("yaml")
+    folder = tmp_path / "catalog"
+    folder.mkdir()
+    one = "signatures:\n- {id: %s, name: %s, severity: low, category: %s, patterns: [{regex: 'evil%s'}]}\n"
+    (folder / "a.yaml").write_text(one % ("S1", "one", "first", "1"))
+
+    def detectors(_now):
+        found = catalogs.read_signatures(spark, str(folder)).signatures
+        return {"signatures": lambda d: signature_alerts(d, found)}
+
+    for run in range(2):
+        data = [log(f"{run}{i}", 60 * run, f"evil{i}") for i in (1, 2)]
+        rows = spark.createDataFrame([tuple(d.get(n) for n in LOG_SCHEMA.fieldNames()) for d in data], LOG_SCHEMA)
+        rows.coalesce(1).write.parquet(f"{tmp_path}/in/part={run}")
+        stream = C.read_stream(spark, f"{tmp_path}/in/*", LOG_SCHEMA)
+        assert C.run_for(C.run_cycles(stream, detectors, f"{tmp_path}/alerts", f"{tmp_path}/check", cycle_seconds=1), 120)
+        (folder / "b.yaml").write_text(one % ("S2", "two", "second", "2"))
+    from emberwatch.sources import tables as T
+
+    assert sorted((r.log_id, r.alert_type) for r in T.read_cycle_alerts(spark, f"{tmp_path}/alerts").collect()) == [("01", "first"), ("11", "first"), ("12", "second")]
