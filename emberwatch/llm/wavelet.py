@@ -44,7 +44,8 @@ class Encoder:
     """Ids of texts by a byte-level BPE tokenizer.
 
     Its pre-tokenizer never joins a space that stands before something else to what is left of it, so a text can be
-    cut before such spaces, and each distinct piece is encoded once.
+    cut before such spaces, and each distinct piece is encoded once. A single line feed between other characters is a
+    token of its own, so lines are encoded like texts.
     """
 
     def __init__(self, model: str):
@@ -52,20 +53,32 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.line_feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self.marks: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
 
+    @staticmethod
+    def lines(text: str) -> list[str]:
+        """The lines, where no line feed stands at an end of the text or next to other white space; else the text."""
+        cut = text.split("\n")
+        return cut if all(c and not c[0].isspace() and not c[-1].isspace() for c in cut) else [text]
+
     @staticmethod
     def pieces(text: str) -> list[str]:
         """The first piece, and the others without the space that they start with."""
         return _CUT.split(text) if _UNSAFE.search(text) else text.split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids as little-endian 16-bit integers."""
-        cut = [self.pieces(t) for t in texts]
+        """For each text its ids as little-endian 16-bit integers; one that holds the string of an added token goes whole to the library."""
+        whole = {i: self._one(t) for i, t in enumerate(texts) if self.added and self.added.search(t)}
+        if whole:
+            rest = iter(self.encode([t for i, t in enumerate(texts) if i not in whole]))
+            return [whole[i] if i in whole else next(rest) for i in range(len(texts))]
+        lines = [self.lines(t) for t in texts]
+        cut = [self.pieces(line) for some in lines for line in some]
         starts = [c.pop(0) for c in cut]
         met = self._meet(self.first, set(starts), ""), self._meet(self.known, set().union(*cut), " ")
         out = [self.first[s] + b"".join(map(self.known.__getitem__, c)) for s, c in zip(starts, cut, strict=True)]
@@ -73,7 +86,8 @@ class Encoder:
             if len(known) > KEPT_PIECES:  # what came first is what is frequent; it stays
                 for piece in new:
                     del known[piece]
-        return out
+        feed, ids = np.array([self.line_feed], "<u2").tobytes(), iter(out)
+        return [next(ids) if len(some) == 1 else feed.join([next(ids) for _ in some]) for some in lines]
 
     def _meet(self, known: dict[str, bytes], pieces: set[str], space: str) -> list[str]:
         """Encode the pieces that aren't known yet.
@@ -82,10 +96,15 @@ class Encoder:
         before a single space is a token of its own.
         """
         new = list(pieces.difference(known))
+        words, rest = [], []
+        for p in new:
+            (words if p.isalpha() else rest).append(p)
         # Letters and what follows them are encoded apart: "word," needs no more than "word".
-        parted = {p: m for p in new if (m := _MARKED.fullmatch(p)) and m[1].isalpha()}
-        new = [*{m[1] for m in parted.values()}.difference(known, new), *(p for p in new if p not in parted)]
-        plain = [p for p in new if p and not _SPACE.search(p)]
+        parted = {p: m for p in rest if (m := _MARKED.fullmatch(p)) and m[1].isalpha()}
+        stems = list({m[1] for m in parted.values()}.difference(known, words))
+        odd = [p for p in rest if p not in parted]
+        spaced = {p for p in odd if not p or _SPACE.search(p)}
+        plain = [*words, *stems, *(p for p in odd if p not in spaced)]
         lines = [plain[i : i + 500] for i in range(0, len(plain), 500)]
         joined = ["\n".join(space + p for p in line) for line in lines]
         for line, ids in zip(lines, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
@@ -95,16 +114,15 @@ class Encoder:
             for piece, end in zip(line, (2 * ends).tolist(), strict=True):
                 known[piece] = raw[at:end]
                 at = end + 2
-        for piece in new:
-            if not piece or _SPACE.search(piece):
-                known[piece] = self._one(space + piece)
+        for piece in spaced:
+            known[piece] = self._one(space + piece)
         for piece, m in parted.items():
             if m[2] not in self.marks:
                 self.marks[m[2]] = self._one(m[2])
             known[piece] = known[m[1]] + self.marks[m[2]]
         if len(self.marks) > KEPT_PIECES:
             self.marks = {}
-        return new + list(parted)
+        return new + stems
 
     def _one(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()

@@ -155,7 +155,6 @@ def plain_ids(tokenizer):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_str(tokenizer)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -237,6 +236,16 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score(brute.table(spark, []), labels).count() == 0
 
 
+def test_long_texts_are_drawn_from_for_training():
+    for most in (1, 3):
+        edge = toxicity.WINDOW + most * toxicity.STRIDE
+        for n in (0, 1, edge - 1, edge, edge + 1, edge + toxicity.STRIDE, 20 * edge):
+            text = " ".join(map(str, range(n)))
+            got = toxicity.drawn(text, most)
+            assert got == text if n < edge else len(got.split()) == most * toxicity.WINDOW and set(got.split()) <= set(text.split())
+    assert toxicity.drawn(None) == ""
+
+
 def test_long_texts_score_like_their_windows():
     rows = toxic_texts(n=60)
     net = toxicity.train([t for _, t, _ in rows], [y for _, _, y in rows], epochs=1)
