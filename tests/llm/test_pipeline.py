@@ -42,16 +42,34 @@ def test_stages(spark, folder):
     assert sorted(seen["mixing"], key=str) == sorted(seen["sharding"], key=str)
 
 
+@pytest.mark.parametrize("table", ["documents", "labels", "benchmark"])
+def test_empty_tables_and_repeated_rows(spark, folder, tmp_path, table):
+    for name in ("documents", "labels", "benchmark"):
+        rows = spark.read.parquet(f"{folder}/{name}.parquet")
+        if name == "documents":
+            rows = rows.unionByName(rows)
+        (rows.limit(0) if name == table else rows).write.parquet(f"{tmp_path}/{name}.parquet")
+    if table == "documents":
+        assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    else:
+        docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:3]:
+            docs = corpus_pipeline.written(stage(spark, docs, str(tmp_path)))
+        got = [r.doc_id for r in docs.collect()]
+        assert {9000, 9600, 9700, None} <= set(got) and (9500 in got) == (table == "benchmark")
+        assert got.count(9600) == got.count(9700) == 1 and not {9001, 9005} & set(got)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
 def test_registered():
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert "pipeline" in names and [n for n in range(1, 11) if not any(x.startswith(f"op{n}_") for x in names)] == []
+    assert "pipeline" in names and [n for n in range(1, 14) if not any(x.startswith(f"op{n}_") for x in names)] == []
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
 
 
-@pytest.mark.parametrize("name", ["op4_mixing", "op10_near_duplicates"])
+@pytest.mark.parametrize("name", ["op4_mixing", "op10_near_duplicates", "op12_vector_codes", "op13_hard_negatives"])
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
 def test_equals_sql(spark, name):
     import __spark_entry__ as entry
