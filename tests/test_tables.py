@@ -3,6 +3,7 @@ import glob
 import json
 from datetime import timedelta
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -244,6 +245,47 @@ def test_late_repeats_are_judged_by_all_that_passed(spark, tmp_path):
     assert got == [0, 300, 650, 1000, 1101, 2000]
 
 
+def test_stream_deduplication_of_many_keys_keeps_no_operator_state(spark, tmp_path):
+    """Against plain code; what passed is read back from the files, so no state store and no frame a key."""
+    row = lambda k, t: (f"{k}-{t}", None, "t", "m", "low", None, None, T0 + timedelta(seconds=t), False, 1.0, None, None, f"u{k}", None)
+    parts = [[(k, t) for k in range(60) for t in range(k % 7, 400, 30 + k)], [(k, t) for k in range(60) for t in range(150 - k, 900, 41)]]
+    wanted = []
+    for k in range(60):
+        passed = []
+        for part in parts:
+            for t in sorted(t for j, t in part if j == k):
+                if all(abs(t - p) > 100 for p in passed):
+                    passed.append(t)
+        wanted += [f"{k}-{t}" for t in passed]
+    for n, part in enumerate(parts):
+        spark.createDataFrame([row(*p) for p in part], ALERT_SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in/part={n}")
+    arriving = C.read_stream(spark, f"{tmp_path}/in/*", ALERT_SCHEMA, max_files=1)
+    query = C.write_files(C.first_of_each(arriving, "100 seconds"), f"{tmp_path}/out", f"{tmp_path}/check")
+    query.awaitTermination()
+    assert sorted(r["id"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == sorted(wanted)
+    assert all(not p["stateOperators"] for p in query.recentProgress)
+
+
+def test_a_file_of_one_row_group_is_spread(spark, tmp_path, monkeypatch):
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(20_000).selectExpr("id", "uuid() AS text").coalesce(1).write.parquet(f"{tmp_path}/one")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        table = spark.read.parquet(f"{tmp_path}/one")
+        assert table.rdd.getNumPartitions() >= cores
+        sizes = [r["count"] for r in T.spread(table).groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 20_000 and max(sizes) <= 20_000 // cores + cores
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    monkeypatch.setattr(T, "ROW_GROUP", 64 << 10)
+    T.materialise(table.coalesce(1), "groups", f"{tmp_path}/groups")
+    (file,) = glob.glob(f"{tmp_path}/groups/*.parquet")
+    assert pq.ParquetFile(file).num_row_groups > 1
+
+
 def test_shared_folder_is_the_sessions(spark):
     assert T.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
     assert AS_OF
