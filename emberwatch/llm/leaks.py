@@ -22,8 +22,8 @@ WINDOW = 5
 #: words of the item: what five windows cover that start four words apart.
 COVERAGE, COVERED = 0.5, 21
 
-#: A window that more items than this share is no evidence by itself; it counts where a rarer window of the item is met.
-#: Of an item all of whose windows are so common, the rarest are.
+#: A window that more items than this share is no evidence by itself for ``hits``; it counts where a rarer window of the item
+#: is met. Of an item all of whose windows are so common, the rarest are. ``leaks`` has no such limit.
 COMMON = 32
 #: Words that an item has at least to be found inside a document; shorter ones ("Yes") leak only as a whole text.
 LEAST_INSIDE = 3
@@ -76,12 +76,31 @@ def _short_in_items(coverage: float) -> Column:
     return F.expr(f"concat({', '.join([f'if(size(words) BETWEEN 1 AND {WINDOW - 1}, {_slices("size(words)", "item")}, array())', *parts])})")
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, inside: bool = False, coverage: float = COVERAGE) -> DataFrame:
+def _met_by_rare(rows: DataFrame, windowed: DataFrame, in_docs: Column, items: DataFrame, most: int) -> DataFrame:
+    """The windows that documents and items share, for pairs that share one that at most ``most`` items have."""
+    key = ["doc_id", "text_key", "item_id"]
+    shared = items.groupBy("hash").agg(F.count_distinct("item_id").alias("_n"))
+    items = items.join(shared, "hash").withColumn("_least", F.min("_n").over(Window.partitionBy("item_id")))
+    items = written(items.withColumn("common", (F.col("_n") > most) & (F.col("_n") > F.col("_least"))))
+    met = windowed.join(items.where("NOT common"), "hash").select(*key, "length", "place", "at")
+    common = items.where("common")
+    if common.isEmpty():
+        return met
+    met = written(met)  # common windows are joined for pairs that share a rarer one
+    pairs = met.select(*key).distinct().join(common, "item_id").alias("p")
+    same = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.text_key") == F.col("p.text_key"))
+    again = rows.alias("d").join(met.select("doc_id", "text_key").distinct().alias("p"), same, "left_semi").distinct()
+    again = again.select("doc_id", "text_key", F.inline(in_docs)).alias("d")
+    return met.unionByName(pairs.join(again, same & (F.col("d.hash") == F.col("p.hash"))).select(*(f"p.{c}" for c in (*key, "length", "place")), "d.at"))
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, inside: bool = False, coverage: float = COVERAGE, most: int | None = COMMON) -> DataFrame:
     """Alignments of a document and an item that share a window: doc_id, text_key, item_id, found.
 
     ``found`` has the places of the windows in the item, in order, each with its shift: the place less that in the
     document. There is a row for each shift, and one for all shifts that follow each other by less than the item's
     length, as words put in or left out make them; where a place has several shifts, the one with most windows counts.
+    A window that more than ``most`` items share counts only for pairs that share a rarer one; with None every window counts.
     """
     items = templates(benchmark.select("item_id", "text").where("item_id IS NOT NULL").distinct())
     rows = templates(docs.select("doc_id", "text", F.xxhash64(F.col("text")).alias("text_key")))
@@ -93,18 +112,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, inside: bool = False, coverage:
     windowed = rows.select("doc_id", "text_key", F.inline(in_docs))
     items = items.select("item_id", F.size("forms").alias("length"), F.inline(in_items).alias("place", "hash"))
     key = ["doc_id", "text_key", "item_id"]
-    shared = items.groupBy("hash").agg(F.count_distinct("item_id").alias("_n"))
-    items = items.join(shared, "hash").withColumn("_least", F.min("_n").over(Window.partitionBy("item_id")))
-    items = written(items.withColumn("common", (F.col("_n") > COMMON) & (F.col("_n") > F.col("_least"))))
-    met = windowed.join(items.where("NOT common"), "hash").select(*key, "length", "place", "at")
-    common = items.where("common")
-    if not common.isEmpty():  # common windows are joined for pairs that share a rarer one
-        met = written(met)
-        pairs = met.select(*key).distinct().join(common, "item_id").alias("p")
-        same = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.text_key") == F.col("p.text_key"))
-        again = rows.alias("d").join(met.select("doc_id", "text_key").distinct().alias("p"), same, "left_semi").distinct()
-        again = again.select("doc_id", "text_key", F.inline(in_docs)).alias("d")
-        met = met.unionByName(pairs.join(again, same & (F.col("d.hash") == F.col("p.hash"))).select(*(f"p.{c}" for c in (*key, "length", "place")), "d.at"))
+    if most is None:
+        met = windowed.join(items, "hash").select(*key, "length", "place", "at")
+    else:
+        met = _met_by_rare(rows, windowed, in_docs, items, most)
     single = met.groupBy(*key, (F.col("place") - F.col("at")).alias("shift")).agg(F.max("length").alias("length"), F.sort_array(F.collect_set("place")).alias("places"))
     single = written(single)
     order = Window.partitionBy(*key).orderBy("shift")
@@ -130,6 +141,14 @@ _ALIGNED = (
 )
 
 
+def _classes(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Items of the same words as one: (item_id, text) with an id of its own for each, and which items each stands for."""
+    known = templates(benchmark.select("item_id", "text").where("item_id IS NOT NULL").distinct()).where("size(words) > 0")
+    known = written(known.select(F.col("item_id").alias("member"), F.min("text").over(Window.partitionBy("words")).alias("text")))
+    classes = written(known.select("text").distinct().select(F.monotonically_increasing_id().alias("item_id"), "text"))
+    return classes, known.join(classes, "text").select(F.col("item_id").alias("class"), F.col("member").alias("item_id")).distinct()
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, covered: int = COVERED, inside: bool = False) -> DataFrame:
     """Which rows of ``docs`` (doc_id, text) leak which items of ``benchmark`` (item_id, text).
 
@@ -139,16 +158,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, cov
     into texts that are such an item as a whole; with ``inside`` those of ``LEAST_INSIDE`` words or more also into texts that
     hold them with the same values, and texts shorter than ``WINDOW`` words leak longer items of which they are enough. Texts without words leak nothing, and items without words or id
     are never found. Rows that agree in id and text, null ids included, share a result row. Empty tables give an
-    empty result. Other columns are ignored.
+    empty result. Other columns are ignored. Items of the same words are looked for once.
     """
-    found = written(hits(docs, benchmark, inside, coverage))  # small against the documents, unless most of them leak
+    benchmark, members = _classes(benchmark)
+    found = written(hits(docs, benchmark, inside, coverage, None))  # small against the documents, unless most of them leak
     rows = docs.select("doc_id", "text", F.xxhash64(F.col("text")).alias("text_key")).alias("d")
     wanted = written(found.select("doc_id", "text_key").distinct()).alias("w")
     same = F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.text_key") == F.col("w.text_key"))
     rows = rows.join(wanted, same, "left_semi").distinct()
     rows = templates(rows).select("doc_id", "text_key", "words", "forms").alias("d")
-    items = templates(benchmark.select("item_id", "text").where("item_id IS NOT NULL").distinct())
-    items = items.select("item_id", F.col("words").alias("item_words"), F.col("forms").alias("item_forms")).where("size(item_forms) > 0")
+    items = templates(benchmark).select("item_id", F.col("words").alias("item_words"), F.col("forms").alias("item_forms"))
     h = found.alias("h")
     same = F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.text_key") == F.col("h.text_key"))
     pairs = rows.join(h, same).select("d.doc_id", "d.text_key", "words", "forms", "item_id", "found").join(items, "item_id")
@@ -167,6 +186,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, cov
     share = F.expr("(size(_at) - if(consistent, 0, size(_slots))) / size(item_forms)")
     pairs = pairs.withColumn("coverage", share).where((F.col("coverage") >= coverage) | (F.col("consistent") & (F.col("_covered") >= covered)))
     best = F.max(F.struct("windows", "coverage", "consistent")).alias("best")
+    pairs = pairs.withColumnRenamed("item_id", "class").join(members, "class")
     return pairs.groupBy("doc_id", "text_key", "item_id").agg(best).select("doc_id", "text_key", "item_id", "best.*")
 
 

@@ -266,6 +266,18 @@ def test_altered_items_are_met_at_any_place(spark):
     assert [(r.doc_id, r.windows) for r in found] == [(21, 17)]
 
 
+def test_windows_that_many_items_share_count_by_themselves(spark):
+    """Sixty items begin alike and two are the same words; a text with that beginning alone leaks all of them."""
+    stem = "which of the rivers in the north carries most water every spring"
+    items = [(i, f"{stem} {' '.join(f'n{i}x{j}' for j in 'abcde')}") for i in range(60)]
+    items += [(60, items[7][1]), (61, "Which " + items[7][1][6:]), (62, "quite another question about the hills beyond the eastern sea")]
+    docs = brute.table(spark, [(1, f"he asked me {stem} and went home", None), (2, f"well {items[7][1]} he asked", None), (3, "hills beyond the sea", None)])
+    got = {(r.doc_id, r.item_id): r for r in leaks.leaks(docs, spark.createDataFrame(items, "item_id int, text string")).collect()}
+    assert sorted(got) == [(d, i) for d in (1, 2) for i in range(62)]
+    assert all(abs(got[1, i].coverage - 12 / 17) < 1e-9 for i in range(62))
+    assert [i for i in range(62) if got[2, i].coverage == 1] == [7, 60, 61]
+
+
 def test_leaks_add_up_over_close_alignments(spark):
     word = lambda i: "".join(chr(97 + int(d)) for d in str(i + 100))
     plain = [f"w{word(i)}" for i in range(45)]
