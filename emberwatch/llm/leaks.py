@@ -28,7 +28,8 @@ COMMON = 32
 #: Words that an item has at least to be found inside a document; shorter ones ("Yes") leak only as a whole text.
 LEAST_INSIDE = 3
 
-NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*"
+# Groups repeat possessively (*+): Java then loops, where a plain * takes a stack frame a repeat and a long run ends the executor.
+NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*+"
 UNITS = (
     "km|cm|mm|m|kg|mg|g|lb|lbs|oz|s|ms|min|h|hours?|minutes?|seconds?|days?|weeks?|months?|years?|meters?|metres?|miles?|"
     "feet|foot|inch|inches|liters?|litres?|ml|l|percent|dollars?|euros?|cents?|degrees?|units?|pounds?|grams?"
@@ -41,7 +42,7 @@ def _marked(text: Column) -> Column:
     with_units = F.regexp_replace(clean, rf"(?<![\p{{L}}0-9])({NUMBER})[ -]?({UNITS})(?!\p{{L}})", " \x01$1\x02$2 ")
     numbers = F.regexp_replace(with_units, rf"(?<![\x01\p{{L}}0-9.,:/]){NUMBER}", " \x01$0 ")
     numbered = F.when(clean.rlike("[0-9]"), numbers).otherwise(clean)
-    return F.lower(F.regexp_replace(numbered, r"(?<=[\p{Ll},;] )\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)*", "\x03$0\x04 "))
+    return F.lower(F.regexp_replace(numbered, r"(?<=[\p{Ll},;] )\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)*+", "\x03$0\x04 "))
 
 
 def templates(df: DataFrame) -> DataFrame:

@@ -278,6 +278,14 @@ def test_windows_that_many_items_share_count_by_themselves(spark):
     assert [i for i in range(62) if got[2, i].coverage == 1] == [7, 60, 61]
 
 
+def test_long_runs_of_names_and_numbers(spark):
+    """A run of any length is one slot; the search for it takes no stack frame a word."""
+    names, numbers = " ".join(["Alpha"] * 30_000), ",".join(["12"] * 30_000)
+    row = leaks.templates(brute.table(spark, [(1, f"we met {names} and {numbers}km of it", None)])).first()
+    assert row.forms == ["we", "met", "\x03", "and", "\x01", "of", "it"]
+    assert row.words[2] == "\x03" + names.lower() and row.words[4].startswith("\x01" + numbers)
+
+
 def test_leaks_add_up_over_close_alignments(spark):
     word = lambda i: "".join(chr(97 + int(d)) for d in str(i + 100))
     plain = [f"w{word(i)}" for i in range(45)]
