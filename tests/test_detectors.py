@@ -11,7 +11,7 @@ from emberwatch.functions.literals import needed
 from emberwatch.operators import baselines as B
 from emberwatch.operators import profiles as PR
 from emberwatch.operators.rules import Rule, rule_alerts, selection, timeframe_seconds
-from emberwatch.operators.signatures import Signature, blocked_ip_alerts, hash_alerts, hash_frame, signature_alerts, split_patterns
+from emberwatch.operators.signatures import Signature, blocked_ip_alerts, hash_alerts, hash_frame, matches, signature_alerts, signature_hits, split_patterns
 from emberwatch.plans import anomaly, detect
 from emberwatch.schema import LOG_SCHEMA
 from emberwatch.sources.default_rules import DEFAULT_RULES
@@ -38,6 +38,19 @@ def test_signature_fixture(prepared, spark):
     assert sorted(r["log_id"] for r in blocked_ip_alerts(frame, blocked).collect()) == ["plain", "ssh"]
 
 
+def test_gate_words_are_searched_once_a_log(prepared):
+    """Not once a field: the raw line mostly holds the message, and few records have the other fields."""
+    one = Signature("S", "n", "low", "c", "", ("evil (one|two)",), ("raw", "message", "normalized.command"))
+    rows = [
+        log(1, 0, "an Evil one", raw="x: an Evil one"), log(2, 0, "evil two", raw="something else"), log(3, 0, "evil", raw="one"),
+        log(4, 0, None, {"command": "run evil two"}), log(5, 0, "evil one", raw=None), log(6, 0, "none", raw="EVIL ONE"),
+    ]
+    hits = signature_hits(prepared(rows), [one])
+    assert sorted(r.id for r in hits.collect()) == ["1", "2", "4", "5", "6"]
+    tests = matches(one, {"raw": "a", "message": "b", "normalized.command": "c"})
+    assert " ".join(tests).count("contains(") == 1
+
+
 def test_signatures_equal_plain_search(prepared):
     """The substring gates change no result: every pattern tried by brute force on awkward texts."""
     rng = random.Random(3)
