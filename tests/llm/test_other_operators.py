@@ -167,6 +167,23 @@ def test_pieces_encode_like_whole_texts(tokenizer):
         assert np.frombuffer(got, "<u2").tolist() == ids(text), repr(text)
 
 
+def test_only_pieces_that_are_new_are_met(tokenizer, monkeypatch):
+    encoder, met, meet = wavelet.Encoder(tokenizer), [], wavelet.Encoder._meet
+    monkeypatch.setattr(wavelet.Encoder, "_meet", lambda self, known, new, space: met.append(set(new)) or meet(self, known, new, space))
+    texts, more = ["one two, l'été x1 two", "three\ntwo"], ["one two, three four"]
+    first = encoder.encode(texts)
+    assert met == [{"one", "three", "two"}, {"two,", "l'été", "x1", "two"}]
+    met.clear()
+    assert encoder.encode(texts) == first and not met
+    got = encoder.encode(more)
+    assert met == [{"three", "four"}]
+    monkeypatch.setattr(wavelet, "KEPT_PIECES", 0)
+    late = wavelet.Encoder(tokenizer)
+    assert late.encode(texts) == first and late.encode(more) == got and not late.known and not late.first
+    ids = plain_ids(tokenizer)
+    assert [np.frombuffer(x, "<u2").tolist() for x in first + got] == [ids(t) for t in texts + more]
+
+
 def test_token_files(spark, tokenizer, tmp_path):
     rows = [(i, f"text number {i} is here, " * (i % 7), None) for i in range(60)] + [(70, None, None), (71, "", None), (72, "word " * 30000, None)]
     docs = brute.table(spark, rows)
