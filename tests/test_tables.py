@@ -286,6 +286,18 @@ def test_a_file_of_one_row_group_is_spread(spark, tmp_path, monkeypatch):
     assert pq.ParquetFile(file).num_row_groups > 1
 
 
+def test_a_larger_table_is_spread_over_more_tasks(spark, tmp_path, monkeypatch):
+    cores = spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(T, "SPREAD_ROWS", 500, raising=False)
+    for files in (1, cores):
+        spark.range(1000 * cores).coalesce(files).write.parquet(f"{tmp_path}/{files}")
+        table = spark.read.parquet(f"{tmp_path}/{files}")
+        sizes = [r["count"] for r in T.spread(table).groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 1000 * cores and len(sizes) == 2 * cores and max(sizes) <= 500 + 2 * cores
+    spark.range(0).write.parquet(f"{tmp_path}/none")
+    assert T.spread(spark.read.parquet(f"{tmp_path}/none")).count() == 0
+
+
 def test_shared_folder_is_the_sessions(spark):
     assert T.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
     assert AS_OF
