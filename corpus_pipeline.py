@@ -6,6 +6,9 @@ that are made by id.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,11 +16,30 @@ from emberwatch.llm import leaks, mixing, near, shards, toxicity
 from emberwatch.llm.common import written
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _staged(stage: Stage) -> Stage:
+    """The stage, begun with a garbage collection of the driver.
+
+    Only then does Spark drop what finished plans leave (broadcasts, shuffle files, generated classes), and the heap shrinks
+    to what is used; a driver with room left collects seldom, and keeps all that stage after stage.
+    """
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.sparkContext._jvm.System.gc()
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 def _with_decisions(docs: DataFrame, decisions: DataFrame, how: str) -> DataFrame:
     """``docs`` as d joined to ``decisions`` as x by doc_id, null ids included."""
     return docs.alias("d").join(decisions.alias("x"), F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")), how)
 
 
+@_staged
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that aren't predicted to be toxic. Of rows without doc_id all go only if all are toxic."""
     scored = toxicity.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -25,6 +47,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return _with_decisions(docs, bad.where("bad = 1").select("doc_id"), "left_anti")
 
 
+@_staged
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates, the one with the smallest doc_id; equal rows are kept once."""
     rows = near.near_duplicates(docs, k=5, percent=80)
@@ -34,11 +57,13 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return _with_decisions(left, repeated, "left_anti").unionByName(_with_decisions(left, repeated, "left_semi").distinct())
 
 
+@_staged
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold no item of the benchmark."""
     return leaks.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), inside=True)
 
 
+@_staged
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row as often as the mix takes it: its words taken over its words, rounded; a row without words once.
 
@@ -51,6 +76,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("x.times")))).select("d.*")
 
 
+@_staged
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of every row in 40 shuffled shards; nothing is dropped."""
     return shards.assign(docs)

@@ -77,3 +77,12 @@ def test_equals_sql(spark, name):
 
     ok, note = compare(spark, connection(SF), SF, name, entry.queries()[name], entry.oracle_sql()[name])
     assert ok, note
+
+
+def test_stages_begin_with_a_collection_on_the_driver(spark):
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = full()
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage.__wrapped__
+    assert corpus_pipeline._staged(lambda spark, docs, sf_dir: docs)(spark, None, "") is None and full() > before
