@@ -13,22 +13,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberwatch.llm import leaks, mixing, near, shards, toxicity
-from emberwatch.llm.common import written
+from emberwatch.llm.common import release_driver_memory, written
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def _staged(stage: Stage) -> Stage:
-    """The stage, begun with a garbage collection of the driver.
+    """The stage, begun with a release of the driver's memory.
 
-    Only then does Spark drop what finished plans leave (broadcasts, shuffle files, generated classes), and the heap shrinks
-    to what is used; a driver with room left collects seldom, and keeps all that stage after stage.
+    A driver with room left collects seldom, and keeps what finished plans leave stage after stage.
     """
 
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        spark.sparkContext._jvm.System.gc()
+        release_driver_memory(spark)
         return stage(spark, docs, sf_dir)
 
     return run

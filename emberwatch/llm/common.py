@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,10 +41,42 @@ def shipped(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Seconds between two releases of the driver's memory by ``written``.
+RELEASE_EVERY = 10
+_released = float("-inf")
+
+
+def release_driver_memory(spark: SparkSession) -> None:
+    """Give memory that the driver no longer needs back to the system.
+
+    A garbage collection lets Spark drop what finished plans leave (broadcasts, shuffle files, generated classes), and the heap
+    shrinks to what is used. What Java allocates outside its heap, as its compiler does for each method, stays with the C
+    library when it is freed, until that is trimmed. Java before 17.0.9 and other C libraries cannot; there only the heap shrinks.
+    """
+    global _released
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    jvm.System.gc()
+    try:
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        connection = jvm.java.lang.Class.forName("javax.management.MBeanServerConnection")  # the server's own class isn't public
+        invoke = next(m for m in connection.getMethods() if m.getName() == "invoke")
+        call = gateway.new_array(jvm.Object, 4)  # name, command, no arguments, no types
+        call[0], call[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        invoke.invoke(server, call)
+    except Py4JError:
+        pass
+    _released = time.monotonic()
+
+
 def written(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts the lineage and survives lost executors."""
+    """Write a table to the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    The plan behind it is done with, so the driver gives back its memory now and then.
+    """
     spark, path = df.sparkSession, shared_folder(df.sparkSession)
     df.write.parquet(path)
+    if time.monotonic() - _released > RELEASE_EVERY:
+        release_driver_memory(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+from pathlib import Path
 
 import brute
 import pytest
@@ -10,6 +12,7 @@ from test_other_operators import toxic_texts
 from test_text_operators import QUESTION
 
 import corpus_pipeline
+from emberwatch.llm import common
 
 SF = "/root/testdata/sf0.001"
 
@@ -86,3 +89,24 @@ def test_stages_begin_with_a_collection_on_the_driver(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage.__wrapped__
     assert corpus_pipeline._staged(lambda spark, docs, sf_dir: docs)(spark, None, "") is None and full() > before
+
+
+def test_the_driver_gives_back_what_java_freed_outside_its_heap(spark, monkeypatch):
+    jvm = spark.sparkContext._jvm
+    status = Path(f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/status")
+    mb = lambda: int(re.search(r"RssAnon:\s+(\d+)", status.read_text())[1]) / 1024
+    frame = spark.range(3)
+    common.written(frame)  # what the first write loads is there
+    packers = [jvm.java.util.zip.Deflater() for _ in range(1200)]  # some 260 KB each outside the heap
+    for i, packer in enumerate(packers):
+        if i % 20:
+            packer.end()
+    before = mb()
+    monkeypatch.setattr(common, "_released", float("-inf"), raising=False)
+    assert common.written(frame).count() == 3
+    assert before - mb() > 100
+    released = common._released
+    common.written(frame)  # not again after so short a time
+    assert common._released == released > float("-inf")
+    for packer in packers[::20]:
+        packer.end()
