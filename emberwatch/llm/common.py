@@ -68,13 +68,14 @@ def release_driver_memory(spark: SparkSession) -> None:
     _released = time.monotonic()
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts the lineage and survives lost executors.
 
-    The plan behind it is done with, so the driver gives back its memory now and then.
+    With ``path`` it is added to what lies there. The plan behind it is done with, so the driver gives back its memory
+    now and then.
     """
-    spark, path = df.sparkSession, shared_folder(df.sparkSession)
-    df.write.parquet(path)
+    spark, path = df.sparkSession, path or shared_folder(df.sparkSession)
+    df.write.mode("append").parquet(path)
     if time.monotonic() - _released > RELEASE_EVERY:
         release_driver_memory(spark)
     return spark.read.schema(df.schema).parquet(path)

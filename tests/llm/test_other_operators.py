@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import pickle
 import random
+import tracemalloc
 import zlib
+from types import SimpleNamespace
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,6 +127,85 @@ def test_neighbours(spark):
     assert [v for v, _ in sorted(found[520].values(), key=lambda p: (-p[1], p[0]))] == [i for i in range(500, 521) if i != 520]
 
 
+@pytest.mark.parametrize("kind, short", [("<f4", True), ("<f8", False)])
+@pytest.mark.parametrize("share", [0.02, 0.6])
+def test_compared(kind, short, share):
+    """Pairs of a tile of queries and blocks of vectors, list by list or all at once, against a plain version."""
+    draw, width, k, n_lists = np.random.default_rng(7), 12, 5, 60
+    x = draw.standard_normal((5000, width)).round(1).astype(kind)  # many equal scores
+    x[1000:1100] = x[1000]
+    lists = np.full((len(x), ann.COPIES), -1, "<i2")
+    lists[:, 0] = np.sort(draw.integers(0, n_lists, len(x)))
+    lists[::2, 1] = (lists[::2, 0] + 1) % n_lists
+    visits = draw.random((100, n_lists)) < share
+    bound = np.where(np.arange(100) % 3 == 0, -np.inf, 0.0)
+    bits = [r.tobytes() for r in np.packbits(visits, axis=1)]
+    asked = pa.table({"vec_id": pa.array(range(0, 5000, 50)), "vector": pa.array([r.tobytes() for r in x[::50]]), "visits": pa.array(bits), "bound": pa.array(bound)})
+    tile = ann.Tile(asked, width, kind)
+    rows = pa.record_batch({"lists": pa.array([r.tobytes() for r in lists]), "vec_id": pa.array(range(5000)), "vector": pa.array([r.tobytes() for r in x])})
+    run = ann._compared(SimpleNamespace(value=tile), width, kind, short, k)
+    got = sorted(r for b in run(iter([rows.slice(0, 3000), rows.slice(3000)])) for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    want = []
+    for i, q in enumerate(range(0, 5000, 50)):
+        s = np.einsum("id,id->i", np.repeat(x[q : q + 1].astype(float), len(x), 0), x.astype(float))
+        meets = (visits[i][lists] & (lists >= 0)).any(axis=1) & (np.arange(len(x)) != q) & (s >= bound[i])
+        want += [(q, int(v), s[v]) for v in np.lexsort((np.arange(len(x)), -s)) if meets[v]][:k]
+    assert got == sorted(want) and len(want) > 300
+
+
+@pytest.mark.parametrize("element", ["float", "double"])
+def test_neighbours_in_several_tiles(spark, monkeypatch, element):
+    """All lists are visited, so the result is exact: repeated rows count once, and ids may have two vectors."""
+    for name, value in {"TILE": 7, "SAMPLE": 300, "LIST_SIZE": 40, "BLOCK": 64}.items():
+        monkeypatch.setattr(ann, name, value)
+    monkeypatch.setattr(ann.Index, "_calibrate", lambda self, *_: setattr(self, "ratio", np.inf))
+    draw = np.random.default_rng(2)
+    x = draw.standard_normal((900, 8)).astype(np.float32)
+    x[200:500] = x[200]  # a third is one vector
+    rows = [(i, v.tolist(), i % 20 == 0) for i, v in enumerate(x)]
+    rows += [(60, x[77].tolist(), False), *rows[:300]]
+    table = spark.createDataFrame(rows, f"vec_id long, embedding array<{element}>, chosen boolean").repartition(3)
+    want, distinct = [], sorted({(i, tuple(v)) for i, v, _ in rows})
+    ids, x = np.array([i for i, _ in distinct]), np.array([v for _, v in distinct])
+    for q in sorted({i for i, _, chosen in rows if chosen}):
+        best = {(-(s := float((x[a] * x[b]).sum())).__round__(9), int(ids[b]), s) for a in np.flatnonzero(ids == q) for b in range(len(ids)) if ids[b] != q}
+        want += [(q, r + 1, v, s) for r, (_, v, s) in enumerate(sorted(best)[:20])]
+    got = [tuple(r) for r in ann.neighbours(table, F.col("chosen")).orderBy("query_id", "rank").collect()]
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert np.allclose([g[3] for g in got], [w[3] for w in want])
+
+
+def test_neighbours_send_little_to_the_driver_and_store_a_vector_once(spark, monkeypatch):
+    """The sample is chosen before it is sent, and no table has a row for each list of a vector or query."""
+    monkeypatch.setattr(ann, "SAMPLE", 500)
+    rows, tables = [(i, v.tolist()) for i, v in enumerate(np.random.default_rng(4).standard_normal((6000, 64)))], []
+    table, write = vectors(spark, rows).repartition(12).localCheckpoint(), ann.written
+    monkeypatch.setattr(ann, "written", lambda df, *path: tables.append(write(df, *path)) or tables[-1])
+    conf = spark.sparkContext._jsc.sc().conf()
+    limit = conf.get("spark.driver.maxResultSize", "1g")
+    conf.set("spark.driver.maxResultSize", "1m")  # all vectors have 1.5 MB, the sample has a quarter of one
+    try:
+        found = ann.neighbours(table, F.col("vec_id") % 20 == 0)
+        assert found.count() == 300 * 20
+    finally:
+        conf.set("spark.driver.maxResultSize", limit)
+    assert max(t.count() for t in tables) <= 6000
+
+
+def test_index_is_built_and_sent_in_little_memory(monkeypatch):
+    draw = np.random.default_rng(5)
+    sample = draw.standard_normal((8000, 8))
+    tracemalloc.start()
+    try:
+        index = ann.Index(sample, 1500 * ann.LIST_SIZE, np.sqrt((sample**2).sum(axis=1)).max(), 20)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(index.centroids) == 1500
+    assert peak < 8000 * 1500 * 8  # less than the distances of all rows to all centroids
+    assert len(pickle.dumps(index)) < 2e6 < 1500 * 1500 * 8
+
+
 def test_few_vectors(spark):
     rows = [(i, [float(i), 1.0]) for i in range(5)]
     got = ann.neighbours(vectors(spark, rows), F.col("vec_id") % 20 == 0).orderBy("rank").collect()
