@@ -171,6 +171,38 @@ def test_the_stream_store_is_laid_out_by_cycle(spark, tmp_path):
     assert T.partition_values(spark, str(tmp_path / "none"), "cycle_end") == []
 
 
+def test_a_micro_batch_of_one_row_group_is_parsed_by_several_tasks(spark, tmp_path, monkeypatch):
+    """Tasks get neighbours in ingestion time, so a cycle has few files; detectors read the stored columns, not a copy in memory."""
+    monkeypatch.setattr(C, "SPREAD_ROWS", 50, raising=False)
+    rows = [log(str(i), 0, "x", ingestion_time=T0 + timedelta(seconds=(i * 7) % 400)) for i in range(400)]
+    frame(spark, rows).coalesce(1).write.parquet(f"{tmp_path}/in")
+    kept = spark.sparkContext._jsc.getPersistentRDDs
+    before, seen = set(kept()), []
+
+    def look(mine, _):
+        seen.append((len(mine.inputFiles()), mine.count(), set(kept()) - before))
+
+    found = lambda _: {"all": lambda d: blocked_ip_alerts(d, d.select(F.col("source_ip").alias("ip")))}
+    query = C.run_cycles(C.read_stream(spark, f"{tmp_path}/in", LOG_SCHEMA), found, f"{tmp_path}/alerts", f"{tmp_path}/check", cycle_seconds=200, callbacks=(look,))
+    assert C.run_for(query, 120)
+    assert len(seen) == 1 and 8 <= seen[0][0] <= 8 + 3 and seen[0][1:] == (400, set())
+
+
+def test_the_stream_of_parts_has_files_by_rows_and_two_micro_batches(spark, tmp_path, monkeypatch):
+    from emberwatch.checks import registry
+
+    monkeypatch.setattr(T, "SPREAD_ROWS", 50)
+    events = spark.range(600).selectExpr(
+        "id AS event_id", "timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, cast(id AS int)) AS ts", "id % 9 AS user_id", "'view' AS event_type", "1.0 AS value", "'k=5' AS props"
+    )
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    stream, seen = registry._in_parts(spark, str(tmp_path), f"{tmp_path}/out"), []
+    query = stream.writeStream.foreachBatch(lambda df, _: seen.append(df.count())).option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+    assert C.run_for(query, 120)
+    assert seen == [19 * 24 + 13, 600 - 19 * 24 - 13]
+    assert [len(glob.glob(f"{tmp_path}/out/in/part={n}/*.parquet")) for n in range(3)] == [5, 5, 3]
+
+
 def test_alert_ids_tell_texts_apart(spark):
     from emberwatch.operators.alerts import to_alerts
 
